@@ -14,12 +14,13 @@ from rankwright.schema import LATE_SEGMENT_COLUMNS, MISSING, NOT_FEATURES, OFFER
 
 def align_schema(df: DataFrame, schema: T.StructType = OFFER_SCHEMA) -> DataFrame:
     """Cast to the declared types, add each missing column as a typed NULL, keep extra columns."""
+    present = set(df.columns)
     declared = [
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
         for f in schema.fields
     ]
-    extra = [c for c in df.columns if c not in schema.names]
-    return df.select(*declared, *extra)
+    names = set(schema.names)
+    return df.selectExpr(*declared, *[f"`{c}`" for c in df.columns if c not in names])
 
 
 def normalise_strings(df: DataFrame) -> DataFrame:
@@ -36,14 +37,15 @@ def normalise_strings(df: DataFrame) -> DataFrame:
 def fill_by_type(df: DataFrame) -> DataFrame:
     """NULL numbers become 0 and NULL text ``missing``; other types stay as they are."""
 
-    def filled(field: T.StructField):
+    def filled(field: T.StructField) -> str:
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.NumericType):
-            return F.coalesce(field.name, F.lit(0).cast(field.dataType)).alias(field.name)
+            return f"coalesce({name}, CAST(0 AS {field.dataType.simpleString()})) AS {name}"
         if isinstance(field.dataType, T.StringType):
-            return F.coalesce(field.name, F.lit(MISSING)).alias(field.name)
-        return F.col(field.name)
+            return f"coalesce({name}, '{MISSING}') AS {name}"
+        return name
 
-    return df.select(*[filled(f) for f in df.schema.fields])
+    return df.selectExpr(*[filled(f) for f in df.schema.fields])
 
 
 def feature_names(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list[str]:

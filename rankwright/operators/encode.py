@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +22,13 @@ from rankwright.session import write_table
 UNSEEN = -1
 
 
-def _entry(df: DataFrame, name: str) -> Column:
+def _entry(name: str, kind: T.DataType) -> str:
     """One value in long form: its text, and a number to sort by when the column is numeric."""
-    kind = df.schema[name].dataType
-    whole = F.col(name).cast("long") if isinstance(kind, T.IntegralType) else F.lit(None)
-    real = F.col(name).cast("double") if isinstance(kind, T.FractionalType) else F.lit(None)
-    return F.struct(
-        F.lit(name).alias("feature"),
-        F.col(name).cast("string").alias("value"),
-        whole.cast("long").alias("whole"),
-        real.cast("double").alias("real"),
+    whole = f"CAST(`{name}` AS bigint)" if isinstance(kind, T.IntegralType) else "CAST(NULL AS bigint)"
+    real = f"CAST(`{name}` AS double)" if isinstance(kind, T.FractionalType) else "CAST(NULL AS double)"
+    return (
+        f"named_struct('feature', '{name}', 'value', CAST(`{name}` AS string),"
+        f" 'whole', {whole}, 'real', {real})"
     )
 
 
@@ -40,8 +38,10 @@ def value_stats(df: DataFrame, features: Sequence[str], label: str | None = None
     One scan for all features: each row is turned into its values, and values are counted in the
     map tasks before anything is shuffled.
     """
-    chosen = F.lit(None).cast("long") if label is None else F.col(label)
-    long = df.select(chosen.alias("_chosen"), F.inline(F.array(*[_entry(df, c) for c in features])))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    entries = ", ".join(_entry(c, kinds[c]) for c in features)
+    chosen = "CAST(NULL AS bigint)" if label is None else label
+    long = df.selectExpr(f"{chosen} AS _chosen", f"inline(array({entries}))")
     return long.groupBy("feature", "value", "whole", "real").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("_chosen").alias("chosen")
     )
@@ -83,13 +83,27 @@ def fill_values(stats: DataFrame, numeric: Sequence[str]) -> DataFrame:
     )
 
 
-def small_features(codes: DataFrame) -> dict[str, bool]:
-    """Per feature, whether its codes fit the broadcast bounds. One row per feature."""
+@dataclass(frozen=True)
+class Dictionary:
+    """What is known of one feature's codes: whether they fit a broadcast, and an only value."""
+
+    small: bool
+    only: str | None = None
+
+
+def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
+    """The size of each feature's dictionary. One row per feature comes back."""
     sizes = codes.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value") + 16).alias("bytes")
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.octet_length("value") + 16).alias("bytes"),
+        F.min("value").alias("first"),
     )
     return {
-        r.feature: r.rows <= BROADCAST_ROWS and r.bytes <= BROADCAST_BYTES for r in sizes.collect()
+        r.feature: Dictionary(
+            r.rows <= BROADCAST_ROWS and r.bytes <= BROADCAST_BYTES,
+            r.first if r.rows == 1 else None,
+        )
+        for r in sizes.collect()
     }
 
 
@@ -97,23 +111,30 @@ def apply_codes(
     df: DataFrame,
     codes: DataFrame,
     features: Sequence[str] = CATEGORIES,
-    small: dict[str, bool] | None = None,
+    dictionaries: dict[str, Dictionary] | None = None,
     row_id: str = "Id",
 ) -> DataFrame:
     """Replace each category by its code; a value without one becomes -1.
 
-    Features whose dictionary is measured small are looked up by broadcast, all in one stage.
+    Features whose dictionary is measured small are looked up by broadcast, all in one stage; one
+    with a single value needs no lookup.
     """
-    small = small_features(codes) if small is None else small
-    known = [c for c in features if c in small]
-    keyed = df.select("*", *[F.col(c).cast("string").alias(f"_value_{c}") for c in known])
-    for name in known:
+    known = measure_codes(codes) if dictionaries is None else dictionaries
+    joined = [c for c in features if c in known and known[c].only is None]
+    keyed = df.selectExpr("*", *[f"CAST(`{c}` AS string) AS `_value_{c}`" for c in joined])
+    for name in joined:
         dictionary = codes.filter(F.col("feature") == name).select(
             F.col("value").alias(f"_value_{name}"), F.col("code").alias(f"_code_{name}")
         )
-        keyed = lookup_join(keyed, dictionary, [f"_value_{name}"], small[name], (row_id,))
-    coded = {
-        c: F.coalesce(F.col(f"_code_{c}") if c in small else F.lit(None), F.lit(UNSEEN)).cast("int")
-        for c in features
-    }
-    return keyed.select(*[coded[c].alias(c) if c in coded else c for c in df.columns])
+        keyed = lookup_join(keyed, dictionary, [f"_value_{name}"], known[name].small, (row_id,))
+
+    def coded(name: str) -> Column:
+        if name in joined:
+            return F.coalesce(F.col(f"_code_{name}"), F.lit(UNSEEN))
+        if name in known:
+            same = F.col(name).cast("string") == F.lit(known[name].only)
+            return F.when(same, F.lit(0)).otherwise(F.lit(UNSEEN))
+        return F.lit(UNSEEN)
+
+    wanted = set(features)
+    return keyed.select(*[coded(c).alias(c) if c in wanted else c for c in df.columns])

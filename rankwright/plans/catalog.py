@@ -22,7 +22,7 @@ from rankwright.plans.features import (
 )
 from rankwright.plans.recommend import recommend, score_requests
 from rankwright.schema import CATEGORIES, OFFER_SCHEMA, REQUEST_SCHEMA, STRAY_INDEX
-from rankwright.session import scratch_path, write_table
+from rankwright.session import scratch_path, tune, write_table
 from rankwright.sources import readers, tables, writers
 from rankwright.streaming.requests import read_request_stream, recommend_stream
 
@@ -34,7 +34,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, select: str | None = None, *tables_sql: str) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
-        QUERIES[name] = run
+        QUERIES[name] = lambda spark, folder: run(tune(spark), folder)
         if select is not None:
             ORACLES[name] = O.with_tables(select, O.BASE, O.OFFERS, *tables_sql)
         return run
@@ -841,7 +841,7 @@ _CODED = ["nationality", "companyID", "searchRoute", "legs1_segments0_marketingC
 def _(spark, folder):
     artifacts = _artifacts(spark, folder)
     filled = cols.fill_by_type(cols.align_schema(tables.offers(spark, folder, labelled=False)))
-    coded = encode.apply_codes(filled, artifacts.codes, CATEGORIES, artifacts.small_codes)
+    coded = encode.apply_codes(filled, artifacts.codes, CATEGORIES, artifacts.dictionaries)
     return coded.select("Id", *_CODED)
 
 

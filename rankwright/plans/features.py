@@ -11,16 +11,17 @@ from pyspark.sql import types as T
 
 from rankwright.operators.columns import align_schema, fill_by_type
 from rankwright.operators.encode import (
+    Dictionary,
     apply_codes,
     codes_from_stats,
     fill_values,
-    small_features,
+    measure_codes,
     value_stats,
 )
 from rankwright.operators.groups import group_features
 from rankwright.operators.lookups import attach_carrier_popularity, attach_route_frequency
 from rankwright.operators.rows import route_key, row_features
-from rankwright.operators.skew import HotGroups, fits_broadcast
+from rankwright.operators.skew import HotGroups
 from rankwright.schema import CARRIER_COLUMNS, CATEGORIES, OFFER_SCHEMA
 from rankwright.session import write_table
 
@@ -36,17 +37,26 @@ class Artifacts:
     codes: DataFrame
     small_carriers: dict[int, bool] = field(default_factory=dict)
     small_routes: bool = False
-    small_codes: dict[str, bool] = field(default_factory=dict)
+    dictionaries: dict[str, Dictionary] = field(default_factory=dict)
 
 
 def _measured(carriers: dict[int, DataFrame], routes: DataFrame, codes: DataFrame) -> Artifacts:
+    """Measure all lookups in one job."""
+    keys = codes.select("feature", "value")
+    for name, table in [*((f"carrier{leg}", t) for leg, t in carriers.items()), (ROUTE, routes)]:
+        keys = keys.unionByName(
+            table.select(F.lit(name).alias("feature"), F.col(table.columns[0]).alias("value"))
+        )
+    sizes = measure_codes(keys)
+    # A lookup without rows has no size to report, and is small.
+    small = {name: size.small for name, size in sizes.items()}
     return Artifacts(
         carriers,
         routes,
         codes,
-        {leg: fits_broadcast(table) for leg, table in carriers.items()},
-        fits_broadcast(routes),
-        small_features(codes),
+        {leg: small.get(f"carrier{leg}", True) for leg in carriers},
+        small.get(ROUTE, True),
+        {c: size for c, size in sizes.items() if c in CATEGORIES},
     )
 
 
@@ -126,4 +136,4 @@ def encode_features(
     categories: Sequence[str] = CATEGORIES,
     row_id: str = "Id",
 ) -> DataFrame:
-    return apply_codes(features, artifacts.codes, categories, artifacts.small_codes, row_id)
+    return apply_codes(features, artifacts.codes, categories, artifacts.dictionaries, row_id)

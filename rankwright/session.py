@@ -8,12 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The wide feature projections compile to methods above the size HotSpot is willing to optimise,
+# and would then run interpreted. At this limit Spark splits them into smaller methods instead.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings the jobs are written for."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str = "rankwright", cores: str = "*", **conf: str) -> SparkSession:
     """A session for tests and benches; on a cluster use the one you are given."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
@@ -24,7 +37,7 @@ def local_session(app: str = "rankwright", cores: str = "*", **conf: str) -> Spa
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def scratch_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ so that ties, nulls, unreadable texts, one-row sessions and unknown carriers all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwright.operators.skew import (
@@ -17,132 +17,117 @@ from rankwright.operators.skew import (
 )
 from rankwright.schema import FLIGHT_SCHEMA, segment_column
 
-CARRIERS = ["SU", "S7", "U6", "DP", "UT"]
+TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _place_code(key: str) -> Column:
-    return F.concat(F.lit("N"), F.lpad(F.col(key).cast("string"), 2, "0"))
+def _place_code(key: str) -> str:
+    return f"concat('N', lpad({key}, 2, '0'))"
 
 
-def _two(value: Column) -> Column:
-    return F.lpad(value.cast("string"), 2, "0")
-
-
-def _duration(minutes: Column) -> Column:
-    days = F.floor(minutes / 1440)
-    prefix = F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise("")
-    hours = F.floor((minutes % 1440) / 60)
-    return F.concat(prefix, _two(hours), F.lit(":"), _two(minutes % 60), F.lit(":00"))
+def _duration(minutes: str) -> str:
+    return (
+        f"concat(if({minutes} >= 1440, concat({minutes} div 1440, '.'), ''),"
+        f" lpad({minutes} % 1440 div 60, 2, '0'), ':', lpad({minutes} % 60, 2, '0'), ':00')"
+    )
 
 
-def _carrier(key: str) -> Column:
-    return F.get(F.array(*[F.lit(c) for c in CARRIERS]), (F.col(key) % 6).cast("int"))
+def _carrier(key: str) -> str:
+    return f"get(array('SU', 'S7', 'U6', 'DP', 'UT'), int({key} % 6))"
 
 
-def _at(hour: Column) -> Column:
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    known = F.concat(day, F.lit("T"), _two(hour % 24), F.lit(":30:00"))
-    return F.when(F.col("l_linenumber") == 6, "unknown").otherwise(known)
+def _at(hour: str) -> str:
+    return (
+        "if(l_linenumber = 6, 'unknown', concat(date_format(l_shipdate, 'yyyy-MM-dd'), 'T',"
+        f" lpad(({hour}) % 24, 2, '0'), ':30:00'))"
+    )
 
 
-def _on_return(value: Column) -> Column:
+def _on_return(value: str) -> str:
     """A column of the second leg: NULL on one-way offers."""
-    return F.when(F.col("l_returnflag") != "N", value)
+    return f"if(l_returnflag <> 'N', {value}, NULL)"
 
 
-def _offer_columns() -> dict[str, Column]:
-    c = F.col
-    line, size = c("l_linenumber"), c("p_size")
-    out_minutes, back_minutes = size * 47 + line * 13, size * 41 + line * 17
+def _offer_columns() -> dict[str, str]:
+    out_trip = _duration("(p_size * 47 + l_linenumber * 13)")
+    back_trip = _duration("(p_size * 41 + l_linenumber * 17)")
     customer, supplier = _place_code("c_nationkey"), _place_code("s_nationkey")
-    cents = F.round(c("l_extendedprice") * 100).cast("long")
-    key_parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    economy = F.when(c("p_type") == "ECONOMY", 1.0)
-    route = (
-        F.when(c("l_partkey") % 8 == 0, "MOWLED/LEDMOW")
-        .when(c("l_partkey") % 8 == 1, "MOWLED")
-        .when(c("l_partkey") % 8 == 2, F.lit(None))
-        .otherwise(F.concat(customer, supplier))
-    )
-    programs = (
-        F.when(c("c_mktsegment") == "FURNITURE", "")
-        .when(c("c_mktsegment") == "MACHINERY", "SU")
-        .when(c("c_mktsegment") == "AUTOMOBILE", "SU/S7")
-        .when(c("c_mktsegment") == "HOUSEHOLD", "SU/S7/U6")
-    )
     return {
-        "Id": F.concat_ws("-", *[c(k).cast("string") for k in key_parts], cents.cast("string")),
-        "ranker_id": c("o_custkey") * 10000 + F.year("o_orderdate"),
-        "requestDate": c("o_orderdate"),
-        "totalPrice": c("l_extendedprice"),
-        "taxes": F.when(line != 7, c("l_extendedprice") * (c("l_tax") + 0.0)),
-        "legs0_duration": _duration(out_minutes),
-        "legs1_duration": _on_return(_duration(back_minutes)),
-        segment_column(0, 0, "duration"): _duration(out_minutes),
-        segment_column(1, 0, "duration"): _on_return(_duration(back_minutes)),
-        segment_column(0, 1, "duration"): F.when(size % 3 == 0, _duration(back_minutes)),
-        segment_column(1, 1, "duration"): _on_return(
-            F.when(size % 2 == 0, _duration(out_minutes))
-        ),
+        "Id": "concat_ws('-', string(l_orderkey), string(l_linenumber), string(l_partkey),"
+        " string(l_suppkey), string(bigint(round(l_extendedprice * 100))))",
+        "ranker_id": "o_custkey * 10000 + year(o_orderdate)",
+        "requestDate": "o_orderdate",
+        "totalPrice": "l_extendedprice",
+        "taxes": "if(l_linenumber <> 7, l_extendedprice * (l_tax + 0D), NULL)",
+        "legs0_duration": out_trip,
+        "legs1_duration": _on_return(back_trip),
+        segment_column(0, 0, "duration"): out_trip,
+        segment_column(1, 0, "duration"): _on_return(back_trip),
+        segment_column(0, 1, "duration"): f"if(p_size % 3 = 0, {back_trip}, NULL)",
+        segment_column(1, 1, "duration"): _on_return(f"if(p_size % 2 = 0, {out_trip}, NULL)"),
         segment_column(0, 0, "marketingCarrier_code"): _carrier("l_suppkey"),
         segment_column(1, 0, "marketingCarrier_code"): _on_return(_carrier("l_partkey")),
         segment_column(0, 0, "departureFrom_airport_iata"): customer,
         segment_column(0, 0, "arrivalTo_airport_iata"): supplier,
         segment_column(1, 0, "departureFrom_airport_iata"): _on_return(supplier),
         segment_column(1, 0, "arrivalTo_airport_iata"): _on_return(customer),
-        "searchRoute": route,
-        "frequentFlyer": programs,
-        "corporateTariffCode": F.when(
-            c("o_orderpriority").isin("1-URGENT", "2-HIGH"), (c("l_suppkey") % 10).cast("string")
-        ),
-        "pricingInfo_isAccessTP": F.when(c("o_orderstatus") == "F", 1.0).when(
-            c("o_orderstatus") == "O", 0.0
-        ),
-        "isVip": (c("c_acctbal") > 5000).cast("double"),
-        segment_column(0, 0, "baggageAllowance_quantity"): F.when(
-            line != 5, (line % 3).cast("double")
-        ),
-        segment_column(1, 0, "baggageAllowance_quantity"): _on_return((line % 2).cast("double")),
-        segment_column(0, 0, "cabinClass"): F.coalesce(
-            economy, F.when(c("p_type") != "SMALL", 2.0)
-        ),
+        "searchRoute": "CASE l_partkey % 8 WHEN 0 THEN 'MOWLED/LEDMOW' WHEN 1 THEN 'MOWLED'"
+        f" WHEN 2 THEN NULL ELSE concat({customer}, {supplier}) END",
+        "frequentFlyer": "CASE c_mktsegment WHEN 'FURNITURE' THEN '' WHEN 'MACHINERY' THEN 'SU'"
+        " WHEN 'AUTOMOBILE' THEN 'SU/S7' WHEN 'HOUSEHOLD' THEN 'SU/S7/U6' END",
+        "corporateTariffCode": "if(o_orderpriority IN ('1-URGENT', '2-HIGH'),"
+        " string(l_suppkey % 10), NULL)",
+        "pricingInfo_isAccessTP": "CASE o_orderstatus WHEN 'F' THEN 1D WHEN 'O' THEN 0D END",
+        "isVip": "double(c_acctbal > 5000)",
+        segment_column(0, 0, "baggageAllowance_quantity"): "if(l_linenumber <> 5,"
+        " double(l_linenumber % 3), NULL)",
+        segment_column(1, 0, "baggageAllowance_quantity"): _on_return("double(l_linenumber % 2)"),
+        segment_column(0, 0, "cabinClass"): "CASE p_type WHEN 'ECONOMY' THEN 1D"
+        " WHEN 'SMALL' THEN NULL ELSE 2D END",
         segment_column(1, 0, "cabinClass"): _on_return(
-            F.coalesce(economy, F.when(c("p_type") != "LARGE", 2.0))
-        ),
-        "miniRules0_monetaryAmount": F.when(
-            c("l_linestatus") != "F", c("l_extendedprice") * (c("l_discount") + 0.0)
+            "CASE p_type WHEN 'ECONOMY' THEN 1D WHEN 'LARGE' THEN NULL ELSE 2D END"
         ),
-        "miniRules1_monetaryAmount": _on_return(c("l_quantity")),
-        "legs0_departureAt": _at(size * 7 + line),
-        "legs0_arrivalAt": _at(size * 7 + line + 3),
-        "legs1_departureAt": _on_return(_at(size * 5 + line)),
-        "legs1_arrivalAt": _on_return(_at(size * 5 + line + 3)),
-        "nationality": c("c_nationkey").cast("long"),
-        "companyID": c("o_custkey") % 50,
-        "sex": c("o_custkey") % 2,
-        "bySelf": c("l_orderkey") % 2,
-        "pred_score": c("l_quantity"),
-        "_discount": c("l_discount") + 0.0,
+        "miniRules0_monetaryAmount": "if(l_linestatus <> 'F',"
+        " l_extendedprice * (l_discount + 0D), NULL)",
+        "miniRules1_monetaryAmount": _on_return("l_quantity"),
+        "legs0_departureAt": _at("p_size * 7 + l_linenumber"),
+        "legs0_arrivalAt": _at("p_size * 7 + l_linenumber + 3"),
+        "legs1_departureAt": _on_return(_at("p_size * 5 + l_linenumber")),
+        "legs1_arrivalAt": _on_return(_at("p_size * 5 + l_linenumber + 3")),
+        "nationality": "bigint(c_nationkey)",
+        "companyID": "o_custkey % 50",
+        "sex": "o_custkey % 2",
+        "bySelf": "l_orderkey % 2",
+        "pred_score": "l_quantity",
+        "_discount": "l_discount + 0D",
     }
 
 
 def _unlabelled(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {
-        name: read_table(spark, folder, name)
-        for name in ("lineitem", "orders", "customer", "part", "supplier")
-    }
-    joined = (
-        tables["lineitem"]
-        .join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(tables["part"], F.col("l_partkey") == F.col("p_partkey"))
-        .join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    return joined.select(*[column.alias(name) for name, column in _offer_columns().items()])
+    """Joins without hints: Catalyst broadcasts a side by its file size, or shuffles both."""
+    joined = read_table(spark, folder, "lineitem")
+    for name, condition in (
+        ("orders", "l_orderkey = o_orderkey"),
+        ("customer", "o_custkey = c_custkey"),
+        ("part", "l_partkey = p_partkey"),
+        ("supplier", "l_suppkey = s_suppkey"),
+    ):
+        joined = joined.join(read_table(spark, folder, name), F.expr(condition))
+    return joined.selectExpr(*[f"{made} AS {name}" for name, made in _offer_columns().items()])
 
 
 _session_profiles: dict[tuple[str, str], HotGroups] = {}
