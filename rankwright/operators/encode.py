@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from rankwright.operators.skew import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
+    BROADCAST_TOTAL_BYTES,
     ROWS_PER_TASK,
     lookup_join,
     running_total,
@@ -92,19 +93,26 @@ class Dictionary:
 
 
 def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
-    """The size of each feature's dictionary. One row per feature comes back."""
+    """The size of each feature's dictionary. One row per feature comes back.
+
+    The smallest are marked for broadcast first, until together they reach the bound on what an
+    executor should hold for one job.
+    """
     sizes = codes.groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.octet_length("value") + 16).alias("bytes"),
         F.min("value").alias("first"),
     )
-    return {
-        r.feature: Dictionary(
-            r.rows <= BROADCAST_ROWS and r.bytes <= BROADCAST_BYTES,
-            r.first if r.rows == 1 else None,
+    measured, taken = {}, 0
+    for r in sorted(sizes.collect(), key=lambda r: (r.bytes, r.feature)):
+        taken += r.bytes
+        small = (
+            r.rows <= BROADCAST_ROWS
+            and r.bytes <= BROADCAST_BYTES
+            and taken <= BROADCAST_TOTAL_BYTES
         )
-        for r in sizes.collect()
-    }
+        measured[r.feature] = Dictionary(small, r.first if r.rows == 1 else None)
+    return measured
 
 
 def apply_codes(

@@ -12,6 +12,7 @@ from rankwright.operators.skew import (
     lookup_join,
     running_total,
     split_hot,
+    with_group_stats,
 )
 
 GROUP_FEATURES = [
@@ -39,10 +40,21 @@ def average_rank(value: str, group: str) -> Column:
     return F.when(F.col(value).isNotNull(), places / 2)
 
 
-def _session_figures(row_id: str, price: str) -> dict[str, Column]:
+def with_offer_count(
+    df: DataFrame, group: str = "ranker_id", row_id: str = "Id", hot: HotGroups | None = None
+) -> DataFrame:
+    """Only ``group_size``, the offers of a session that have an id.
+
+    Asked for before the row features, it moves the exchange in front of them: the shuffle then
+    carries the raw columns alone, and every later window finds the rows in place.
+    """
+    return with_group_stats(df, [group], {"group_size": F.count(row_id)}, hot, (row_id,))
+
+
+def _session_figures(df: DataFrame, row_id: str, price: str) -> dict[str, Column]:
     direct_price = F.when(F.col("is_direct_leg0") == 1, F.col(price))
-    return {
-        "group_size": F.count(row_id),
+    sized = {} if "group_size" in df.columns else {"group_size": F.count(row_id)}
+    return sized | {
         "_prices": F.count(price),
         "_price_min": F.min(price),
         "_price_std": F.stddev_samp(price),
@@ -62,7 +74,8 @@ def group_features(
     """Add the session features; needs the row features.
 
     Ordinary sessions take one exchange and two sorts for all windows. The cheapest direct price
-    is a window minimum too, which saves the aggregate and the join back.
+    is a window minimum too, which saves the aggregate and the join back. A ``group_size`` that
+    is already there is kept.
     """
     hot = find_hot_groups(df, [group]) if hot is None else hot
     if not hot:
@@ -78,7 +91,7 @@ def _by_window(df: DataFrame, group: str, row_id: str, price: str, duration: str
     whole = Window.partitionBy(group)
     return df.select(
         "*",
-        *[f.over(whole).alias(name) for name, f in _session_figures(row_id, price).items()],
+        *[f.over(whole).alias(name) for name, f in _session_figures(df, row_id, price).items()],
         F.median(price).over(whole).alias("_price_median"),
         average_rank(price, group).alias("price_rank"),
         average_rank(duration, group).alias("duration_rank"),
@@ -102,7 +115,7 @@ def _by_aggregate(
 ) -> DataFrame:
     """The same figures for hot sessions, with no window over a whole session."""
     figures = df.groupBy(group).agg(
-        *[f.alias(name) for name, f in _session_figures(row_id, price).items()]
+        *[f.alias(name) for name, f in _session_figures(df, row_id, price).items()]
     )
     prices = _ranked_values(df, group, price, rows_per_task)
     # The value at place p is the largest one with fewer than p rows below it.

@@ -31,6 +31,7 @@ ROWS_PER_TASK = 1_000_000
 MAX_HOT_GROUPS = 100_000
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_TOTAL_BYTES = 256 * 1024 * 1024
 
 _HOT_ROWS = "_hot_rows"
 _SALT = "_salt"
@@ -222,6 +223,7 @@ def lookup_join(
     small: bool | None = None,
     spread_by: Sequence[str] = ("Id",),
     rows_per_task: int = ROWS_PER_TASK,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Left join a table with one row per key.
 
@@ -232,7 +234,7 @@ def lookup_join(
     small = fits_broadcast(lookup) if small is None else small
     if small:
         return df.join(F.broadcast(lookup), list(on), "left")
-    hot = find_hot_groups(df, on, rows_per_task)
+    hot = find_hot_groups(df, on, rows_per_task) if hot is None else hot
     if not hot:
         return df.join(lookup, list(on), "left")
     values = [c for c in lookup.columns if c not in on]

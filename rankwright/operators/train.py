@@ -17,6 +17,7 @@ from rankwright.operators.skew import (
     HotGroups,
     find_hot_groups,
     lookup_join,
+    no_hot_groups,
     running_total,
     with_group_stats,
 )
@@ -92,8 +93,12 @@ def make_pairs(
         F.col(row_id).alias("best_id"),
         *[F.col(c).alias(f"best_{c}") for c in features],
     )
-    numbered = running_total(chosen, [group], [F.col("best_id")], "_slot")
-    pairs = lookup_join(others, numbered, [group, "_slot"], False, ("other_id",))
+    # Parts of sessions that fit a task fit one too, and need no counting of their own.
+    known = None if hot else no_hot_groups([group])
+    numbered = running_total(chosen, [group], [F.col("best_id")], "_slot", hot=known)
+    pairs = lookup_join(
+        others, numbered, [group, "_slot"], small=False, spread_by=("other_id",), hot=known
+    )
     return pairs.drop("_slot")
 
 

@@ -18,10 +18,10 @@ from rankwright.operators.encode import (
     measure_codes,
     value_stats,
 )
-from rankwright.operators.groups import group_features
+from rankwright.operators.groups import group_features, with_offer_count
 from rankwright.operators.lookups import attach_carrier_popularity, attach_route_frequency
 from rankwright.operators.rows import route_key, row_features
-from rankwright.operators.skew import HotGroups
+from rankwright.operators.skew import HotGroups, find_hot_groups
 from rankwright.schema import CARRIER_COLUMNS, CATEGORIES, OFFER_SCHEMA
 from rankwright.session import write_table
 
@@ -120,9 +120,13 @@ def build_features(
     row_id: str = "Id",
     hot: HotGroups | None = None,
 ) -> DataFrame:
-    """Offers to filled feature rows: one exchange on the session, lookups by measured size."""
-    offers = row_features(align_schema(df))
-    compared = group_features(offers, group, row_id, hot=hot)
+    """Offers to filled feature rows: one exchange on the session, lookups by measured size.
+
+    The session size comes first so that the exchange carries the raw columns only.
+    """
+    hot = find_hot_groups(df, [group]) if hot is None else hot
+    sized = with_offer_count(align_schema(df), group, row_id, hot)
+    compared = group_features(row_features(sized), group, row_id, hot=hot)
     popular = attach_carrier_popularity(
         compared, artifacts.carriers, artifacts.small_carriers, row_id
     )

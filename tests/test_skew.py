@@ -225,3 +225,25 @@ def test_window_over_many_partitions_agrees(rows):
     ordered = Window.partitionBy("ranker_id").orderBy(*ranking.score_order())
     plain = rows.withColumn("rank", F.row_number().over(ordered))
     same(ranking.rank_in_group(rows), plain)
+
+
+def test_broadcast_budget_is_shared(spark, monkeypatch):
+    rows = [("a", "x"), ("b", "yy"), ("b", "zz"), ("c", "w" * 50)]
+    codes = spark.createDataFrame(rows, "feature string, value string")
+    monkeypatch.setattr(encode, "BROADCAST_TOTAL_BYTES", 60)
+    sizes = encode.measure_codes(codes)
+    assert {name: size.small for name, size in sizes.items()} == {"a": True, "b": True, "c": False}
+    assert sizes["a"].only == "x" and sizes["b"].only is None
+
+
+def test_offers_bucketed_by_session_need_no_exchange(spark, rows, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS bucketed_offers")
+    rows.write.bucketBy(4, "ranker_id").option("path", str(tmp_path / "b")).saveAsTable(
+        "bucketed_offers"
+    )
+    stored = spark.table("bucketed_offers")
+    made = groups.group_features(stored, hot=NONE)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    names = ["Id", "price_rank", "group_size"]
+    same(made.select(*names), groups.group_features(rows, hot=NONE).select(*names))
+    spark.sql("DROP TABLE bucketed_offers")
