@@ -121,6 +121,7 @@ def apply_codes(
     features: Sequence[str] = CATEGORIES,
     dictionaries: dict[str, Dictionary] | None = None,
     row_id: str = "Id",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Replace each category by its code; a value without one becomes -1.
 
@@ -129,12 +130,24 @@ def apply_codes(
     """
     known = measure_codes(codes) if dictionaries is None else dictionaries
     joined = [c for c in features if c in known and known[c].only is None]
-    keyed = df.selectExpr("*", *[f"CAST(`{c}` AS string) AS `_value_{c}`" for c in joined])
+    keyed = df
     for name in joined:
         dictionary = codes.filter(F.col("feature") == name).select(
             F.col("value").alias(f"_value_{name}"), F.col("code").alias(f"_code_{name}")
         )
-        keyed = lookup_join(keyed, dictionary, [f"_value_{name}"], known[name].small, (row_id,))
+        text = F.col(name).cast("string")
+        if known[name].small:
+            same = text == F.col(f"_value_{name}")
+            keyed = keyed.join(F.broadcast(dictionary), same, "left")
+        else:
+            keyed = lookup_join(
+                keyed.withColumn(f"_value_{name}", text),
+                dictionary,
+                [f"_value_{name}"],
+                small=False,
+                spread_by=(row_id,),
+                rows_per_task=rows_per_task,
+            )
 
     def coded(name: str) -> Column:
         if name in joined:

@@ -88,11 +88,16 @@ def group_features(
 
 
 def _by_window(df: DataFrame, group: str, row_id: str, price: str, duration: str) -> DataFrame:
-    whole = Window.partitionBy(group)
+    # The whole session as a frame of the price order, so that one window step covers both.
+    whole = (
+        Window.partitionBy(group)
+        .orderBy(F.col(price).asc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     return df.select(
         "*",
         *[f.over(whole).alias(name) for name, f in _session_figures(df, row_id, price).items()],
-        F.median(price).over(whole).alias("_price_median"),
+        F.percentile(price, 0.5).over(whole).alias("_price_median"),
         average_rank(price, group).alias("price_rank"),
         average_rank(duration, group).alias("duration_rank"),
     )

@@ -247,3 +247,14 @@ def test_offers_bucketed_by_session_need_no_exchange(spark, rows, tmp_path):
     names = ["Id", "price_rank", "group_size"]
     same(made.select(*names), groups.group_features(rows, hot=NONE).select(*names))
     spark.sql("DROP TABLE bucketed_offers")
+
+
+def test_large_dictionaries_give_the_same_codes(rows):
+    given = rows.select("Id", "carrier", "total_duration")
+    features = ["carrier", "total_duration"]
+    codes = encode.fit_codes(given.filter("Id < 'o0300'"), features)
+    large = {c: encode.Dictionary(False) for c in features}
+    same(
+        encode.apply_codes(given, codes, features, large, rows_per_task=30),
+        encode.apply_codes(given, codes, features),
+    )
