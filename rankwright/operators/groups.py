@@ -9,11 +9,13 @@ from rankwright.functions import columns as C
 from rankwright.operators.skew import (
     HotGroups,
     find_hot_groups,
+    fits_broadcast,
     lookup_join,
     running_total,
     split_hot,
     with_group_stats,
 )
+from rankwright.session import write_table
 
 GROUP_FEATURES = [
     "group_size",
@@ -115,39 +117,49 @@ def _ranked_values(df: DataFrame, group: str, value: str, rows_per_task: int) ->
     )
 
 
+def _attach_place(
+    df: DataFrame, narrow: DataFrame, ranks: DataFrame, value: str, group: str, row_id: str,
+    rows_per_task: int,
+) -> DataFrame:
+    """Average rank of each row's value, looked up in the ranks of the distinct values."""
+    place = F.col("_below") + (F.col("_ties") + 1) / 2
+    places = ranks.select(group, value, place.alias("_place"))
+    small = fits_broadcast(places)
+    hot = None if small else find_hot_groups(narrow, [group, value], rows_per_task)
+    return lookup_join(df, places, [group, value], small, (row_id,), hot=hot)
+
+
 def _by_aggregate(
     df: DataFrame, group: str, row_id: str, price: str, duration: str, rows_per_task: int
 ) -> DataFrame:
-    """The same figures for hot sessions, with no window over a whole session."""
-    figures = df.groupBy(group).agg(
+    """The same figures for hot sessions, with no window over a whole session.
+
+    The few columns that are counted again and again are written once, so the wide rows behind
+    them are read only for that and for the final lookups.
+    """
+    needed = [group, row_id, price, duration, "l0_seg", "is_direct_leg0"]
+    narrow = write_table(df.select(*needed), "crowded")
+    figures = narrow.groupBy(group).agg(
         *[f.alias(name) for name, f in _session_figures(df, row_id, price).items()]
     )
-    prices = _ranked_values(df, group, price, rows_per_task)
+    prices = write_table(_ranked_values(narrow, group, price, rows_per_task), "prices")
+    durations = write_table(_ranked_values(narrow, group, duration, rows_per_task), "durations")
     # The value at place p is the largest one with fewer than p rows below it.
     middle = [F.floor((F.col("_prices") + step) / 2) for step in (1, 2)]
+    at_middle = [
+        F.max(F.when(F.col("_below") < m, F.col(price))).alias(f"_m{i}")
+        for i, m in enumerate(middle)
+    ]
     medians = (
         prices.join(F.broadcast(figures.select(group, "_prices")), group)
         .groupBy(group)
-        .agg(*[F.max(F.when(F.col("_below") < m, F.col(price))).alias(f"_m{i}") for i, m in
-               enumerate(middle)])
+        .agg(*at_middle)
         .select(group, ((F.col("_m0") + F.col("_m1")) / 2).alias("_price_median"))
     )
-    place = F.col("_below") + (F.col("_ties") + 1) / 2
-    durations = _ranked_values(df, group, duration, rows_per_task)
-    out = lookup_join(
-        df,
-        prices.select(group, price, place.alias("price_rank")),
-        [group, price],
-        spread_by=(row_id,),
-        rows_per_task=rows_per_task,
-    )
-    out = lookup_join(
-        out,
-        durations.select(group, duration, place.alias("duration_rank")),
-        [group, duration],
-        spread_by=(row_id,),
-        rows_per_task=rows_per_task,
-    )
+    out = df
+    for value, ranks, name in ((price, prices, "price_rank"), (duration, durations, "duration_rank")):
+        out = _attach_place(out, narrow, ranks, value, group, row_id, rows_per_task)
+        out = out.withColumnRenamed("_place", name)
     # One row per hot session: bounded, see the skew module.
     return out.join(F.broadcast(figures), group, "left").join(F.broadcast(medians), group, "left")
 

@@ -1,4 +1,8 @@
-"""Features computed from one offer alone. No shuffle; every step is a plain projection."""
+"""Features computed from one offer alone, as named columns per family. No shuffle.
+
+``row_features`` adds them in four projections, ordered by what they read: raw texts, minutes,
+the families, and the flags that follow from those.
+"""
 
 from __future__ import annotations
 
@@ -21,118 +25,101 @@ from rankwright.schema import (
 RUSH_HOURS = ((6, 9), (17, 20))
 
 
-def with_segment_counts(df: DataFrame) -> DataFrame:
+def segment_counts() -> dict[str, Column]:
     """Segments per leg, from the raw duration texts.
 
     Counting must come before the texts are turned into minutes: an absent segment is NULL as
     text but 0 as minutes, and would then count as a segment.
     """
-    counts = {
+    return {
         f"n_segments_leg{leg}": C.count_present(
             [F.col(segment_column(leg, s, "duration")) for s in SEGMENTS]
         )
         for leg in LEGS
     }
-    return df.withColumns(counts).withColumn(
-        "total_segments", F.col("n_segments_leg0") + F.col("n_segments_leg1")
-    )
 
 
-def with_minutes(df: DataFrame) -> DataFrame:
+def minutes() -> dict[str, Column]:
     """Duration texts replaced by whole minutes."""
-    return df.withColumns({c: C.minutes_of(F.col(c)) for c in CONVERTED_DURATIONS})
+    return {c: C.minutes_of(F.col(c)) for c in CONVERTED_DURATIONS}
 
 
-def with_price_ratios(df: DataFrame) -> DataFrame:
+def price_ratios() -> dict[str, Column]:
     price, taxes = F.col("totalPrice"), F.col("taxes")
-    return df.withColumns(
-        {
-            "price_per_tax": C.ratio(price, taxes + 1),
-            "tax_rate": C.ratio(taxes, price + 1),
-            "log_price": C.log_plus_one(price),
-        }
-    )
+    return {
+        "price_per_tax": C.ratio(price, taxes + 1),
+        "tax_rate": C.ratio(taxes, price + 1),
+        "log_price": C.log_plus_one(price),
+    }
 
 
-def with_trip_shape(df: DataFrame) -> DataFrame:
-    """Total duration, duration ratio and the one-way flag; needs minutes."""
+def trip_shape() -> dict[str, Column]:
+    """Total duration, duration ratio and the one-way flag; reads minutes."""
     out, back = C.or_zero(F.col("legs0_duration")), C.or_zero(F.col("legs1_duration"))
     no_return = (back == 0) | F.col(segment_column(1, 0, "departureFrom_airport_iata")).isNull()
-    return df.withColumns(
-        {
-            "total_duration": out + back,
-            "duration_ratio": C.choose(back > 0, out / (back + 1), F.lit(1.0)),
-            "is_one_way": C.flag(no_return),
-        }
-    )
+    return {
+        "total_duration": out + back,
+        "duration_ratio": C.choose(back > 0, out / (back + 1), F.lit(1.0)),
+        "is_one_way": C.flag(no_return),
+    }
 
 
-def with_carrier_counts(df: DataFrame) -> DataFrame:
+def carrier_counts() -> dict[str, Column]:
     """``l0_seg`` counts the named marketing carriers of both legs, despite its name."""
     carriers = [
         F.col(segment_column(leg, s, "marketingCarrier_code")) for leg in LEGS for s in SEGMENTS
     ]
-    return df.withColumns(
-        {
-            "l0_seg": C.count_present(carriers),
-            "is_major_carrier": C.one_of(F.col(CARRIER_COLUMNS[0]), MAJOR_CARRIERS),
-        }
-    )
+    return {
+        "l0_seg": C.count_present(carriers),
+        "is_major_carrier": C.one_of(F.col(CARRIER_COLUMNS[0]), MAJOR_CARRIERS),
+    }
 
 
-def with_traveller_flags(df: DataFrame) -> DataFrame:
+def traveller_flags() -> dict[str, Column]:
     programs = F.coalesce("frequentFlyer", F.lit(""))
     n_programs = C.count_slashes(programs) + C.flag(programs != "")
-    return df.withColumns(
-        {
-            "n_ff_programs": n_programs,
-            "has_corporate_tariff": C.present(F.col("corporateTariffCode")),
-            "has_access_tp": C.flag(F.col("pricingInfo_isAccessTP") == 1),
-            "is_popular_route": C.one_of(F.col("searchRoute"), POPULAR_ROUTES),
-            "is_vip_freq": C.flag((F.col("isVip") == 1) | (n_programs > 0)),
-        }
-    )
+    return {
+        "n_ff_programs": n_programs,
+        "has_corporate_tariff": C.present(F.col("corporateTariffCode")),
+        "has_access_tp": C.flag(F.col("pricingInfo_isAccessTP") == 1),
+        "is_popular_route": C.one_of(F.col("searchRoute"), POPULAR_ROUTES),
+        "is_vip_freq": C.flag((F.col("isVip") == 1) | (n_programs > 0)),
+    }
 
 
-def with_baggage_and_fees(df: DataFrame) -> DataFrame:
+def baggage_and_fees() -> dict[str, Column]:
     baggage = C.total(
         [C.or_zero(F.col(segment_column(leg, 0, "baggageAllowance_quantity"))) for leg in LEGS]
     )
     fees = C.total([C.or_zero(F.col(f"miniRules{rule}_monetaryAmount")) for rule in (0, 1)])
-    return df.withColumns(
-        {
-            "baggage_total": baggage,
-            "total_fees": fees,
-            "has_baggage": C.flag(baggage > 0),
-            "has_fees": C.flag(fees > 0),
-            "fee_rate": C.ratio(fees, F.col("totalPrice") + 1),
-        }
-    )
+    return {
+        "baggage_total": baggage,
+        "total_fees": fees,
+        "has_baggage": C.flag(baggage > 0),
+        "has_fees": C.flag(fees > 0),
+        "fee_rate": C.ratio(fees, F.col("totalPrice") + 1),
+    }
 
 
-def with_cabin(df: DataFrame) -> DataFrame:
+def cabins() -> dict[str, Column]:
     out, back = [F.col(segment_column(leg, 0, "cabinClass")) for leg in LEGS]
-    return df.withColumns(
-        {
-            "avg_cabin_class": C.mean_present([out, back]),
-            "cabin_class_diff": C.or_zero(out) - C.or_zero(back),
-        }
-    )
+    return {
+        "avg_cabin_class": C.mean_present([out, back]),
+        "cabin_class_diff": C.or_zero(out) - C.or_zero(back),
+    }
 
 
-def with_direct_flags(df: DataFrame) -> DataFrame:
-    """Needs the segment counts and ``is_one_way``."""
-    direct0 = C.flag(F.col("n_segments_leg0") == 1)
-    direct1 = C.choose(
-        F.col("is_one_way") == 1, F.lit(0), C.flag(F.col("n_segments_leg1") == 1)
-    )
-    return df.withColumns(
-        {
-            "is_direct_leg0": direct0,
-            "is_direct_leg1": direct1,
-            "both_direct": C.both(direct0, direct1),
-        }
-    )
+def direct_flags() -> dict[str, Column]:
+    """Reads the segment counts and ``is_one_way``."""
+    counts = [F.col(f"n_segments_leg{leg}") for leg in LEGS]
+    direct0 = C.flag(counts[0] == 1)
+    direct1 = C.choose(F.col("is_one_way") == 1, F.lit(0), C.flag(counts[1] == 1))
+    return {
+        "total_segments": C.total(counts),
+        "is_direct_leg0": direct0,
+        "is_direct_leg1": direct1,
+        "both_direct": C.both(direct0, direct1),
+    }
 
 
 def _in_rush_hours(hour: Column) -> Column:
@@ -140,16 +127,16 @@ def _in_rush_hours(hour: Column) -> Column:
     return hour.between(am0, am1) | hour.between(pm0, pm1)
 
 
-def with_times(df: DataFrame) -> DataFrame:
+def times() -> dict[str, Column]:
     """Hour (12 when unknown), weekday (0 when unknown) and rush-hour flag of each time."""
-    added = {}
+    made = {}
     for name in TIME_COLUMNS:
         moment = C.to_moment(F.col(name))
         hour = F.coalesce(C.hour_of(moment), F.lit(12))
-        added[f"{name}_hour"] = hour
-        added[f"{name}_weekday"] = C.or_zero(C.weekday_of(moment))
-        added[f"{name}_business_time"] = C.flag(_in_rush_hours(hour))
-    return df.withColumns(added)
+        made[f"{name}_hour"] = hour
+        made[f"{name}_weekday"] = C.or_zero(C.weekday_of(moment))
+        made[f"{name}_business_time"] = C.flag(_in_rush_hours(hour))
+    return made
 
 
 def route_key() -> Column:
@@ -163,19 +150,20 @@ def with_route(df: DataFrame) -> DataFrame:
 
 
 def row_features(df: DataFrame) -> DataFrame:
-    """All per-offer features of an aligned frame; the projections collapse into few."""
-    for step in (
-        with_segment_counts,
-        with_minutes,
-        with_price_ratios,
-        with_trip_shape,
-        with_carrier_counts,
-        with_traveller_flags,
-        with_baggage_and_fees,
-        with_cabin,
-        with_direct_flags,
-        with_times,
-        with_route,
-    ):
-        df = df.transform(step)
-    return df
+    """All per-offer features of an aligned frame."""
+    families = (
+        price_ratios()
+        | trip_shape()
+        | carrier_counts()
+        | traveller_flags()
+        | baggage_and_fees()
+        | cabins()
+        | times()
+        | {"round_trip_route": route_key()}
+    )
+    return (
+        df.withColumns(segment_counts())
+        .withColumns(minutes())
+        .withColumns(families)
+        .withColumns(direct_flags())
+    )

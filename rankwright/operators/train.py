@@ -170,9 +170,15 @@ def train_pointwise(
     depth: int = 5,
     rounds: int = 20,
     learning_rate: float = 0.1,
+    min_rows: int = 2,
+    row_share: float = 0.88,
+    feature_share: float = 0.46,
     seed: int = 42,
 ) -> PipelineModel:
-    """Boosted trees on the 0/1 label alone; save and load it as any Spark ML model."""
+    """Boosted trees on the 0/1 label alone; save and load it as any Spark ML model.
+
+    Each tree sees ``row_share`` of the rows and each split ``feature_share`` of the features.
+    """
     assembler = VectorAssembler(
         inputCols=list(features), outputCol="features", handleInvalid="keep"
     )
@@ -182,6 +188,9 @@ def train_pointwise(
         maxDepth=depth,
         maxIter=rounds,
         stepSize=learning_rate,
+        minInstancesPerNode=min_rows,
+        subsamplingRate=row_share,
+        featureSubsetStrategy=str(feature_share),
         seed=seed,
     )
     prepared = assembler.transform(df.select(F.col(label).cast("double").alias(label), *features))

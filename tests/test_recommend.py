@@ -153,7 +153,7 @@ def test_linear_ranker_learns(spark, features, tmp_path):
 
 def test_trees_learn_and_reload(spark, features, artifacts, folder, tmp_path):
     cheapest = features.withColumn("selected", F.col("is_cheapest").cast("long"))
-    model = train.train_pointwise(cheapest, ["price_pct_rank", "is_cheapest", "l0_seg"], depth=2, rounds=2)
+    model = train.train_pointwise(cheapest, ["price_pct_rank", "is_cheapest", "l0_seg"], depth=2, rounds=2, feature_share=1.0)
     scored = train.score(cheapest, model)
     assert evaluate.hitrate_at_k(scored, score="score", k=1).first()[0] == 1.0
     importance = train.feature_importance(spark, model).collect()

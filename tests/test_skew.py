@@ -258,3 +258,18 @@ def test_large_dictionaries_give_the_same_codes(rows):
         encode.apply_codes(given, codes, features, large, rows_per_task=30),
         encode.apply_codes(given, codes, features),
     )
+
+
+def test_group_features_with_ranks_too_large_to_broadcast(rows, hot, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    names = ["Id", *groups.GROUP_FEATURES]
+    made = groups.group_features(rows, hot=hot).select(*names)
+    same(made, groups.group_features(rows, hot=NONE).select(*names))
+
+
+def test_group_size_may_come_first(rows, hot):
+    names = ["Id", *groups.GROUP_FEATURES]
+    plain = groups.group_features(rows, hot=NONE).select(*names)
+    for known in (hot, NONE):
+        sized = groups.with_offer_count(rows, hot=known)
+        same(groups.group_features(sized, hot=known).select(*names), plain)
