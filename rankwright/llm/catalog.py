@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankwright.llm import near_dup, oracles
+from rankwright.llm import near_dup, oracles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,3 +27,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), near_dup.NearDup(words=2))
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        (~toxicity.in_training()).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
