@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm import near_dup, oracles, toxicity
+from rankwright.llm import near_dup, oracles, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +40,8 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, folder, "documents"))

@@ -29,3 +29,22 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, d.doc_id =
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT p, min(q) AS c FROM reach GROUP BY 1) r ON r.p = d.doc_id
 """
+
+SQL["op8_substring_dedup"] = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), p AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), m AS (SELECT k, min(doc_id) AS least FROM p GROUP BY 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM p JOIN m USING (k) WHERE least < doc_id
+), one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS text, count(*) AS n
+  FROM one ANTI JOIN gone USING (doc_id, at) GROUP BY 1
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
