@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm import near_dup, oracles, substring, toxicity
+from rankwright.llm import chat, mixing, near_dup, oracles, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,3 +45,25 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit(said).alias("text"),
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    messages = rows.select("conv_id", "turn", "role", chat.text_parts().alias("parts"))
+    return chat.format_and_read(messages).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )

@@ -38,13 +38,61 @@ WITH w AS (
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
 ), m AS (SELECT k, min(doc_id) AS least FROM p GROUP BY 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM p JOIN m USING (k) WHERE least < doc_id
-), one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM w
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM p JOIN m USING (k) WHERE least < doc_id
+), one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w
 ), kept AS (
-  SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS text, count(*) AS n
-  FROM one ANTI JOIN gone USING (doc_id, at) GROUP BY 1
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+  FROM one ANTI JOIN gone USING (doc_id, pos) GROUP BY 1
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
   sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op6_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    md5('mix-1:' || doc_id || ':' || len(regexp_extract_all(coalesce(text, ''), '{WORD}'))) AS k
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS n,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source
+), f AS (
+  SELECT *, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2 * n) OVER before, 0)) / sum(w) OVER since AS level
+  FROM s WINDOW before AS (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    since AS (ORDER BY 2 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), t AS (
+  SELECT source, n, CASE WHEN 2 * n <= level * w THEN 2 * n
+    ELSE w * (SELECT arg_min(level, 2 * n / w) FROM f g WHERE 2 * g.n > g.level * g.w) END AS target
+  FROM f
+), u AS (SELECT source, n, target, floor(target / n) AS times, target - floor(target / n) * n AS rest FROM t WHERE n > 0
+), o AS (
+  SELECT d.*, u.*, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+)
+SELECT doc_id, size, n::BIGINT AS source_size, target,
+  (size * (times + CASE WHEN start < rest AND rest - start >= size / 2 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o
+"""
+
+# what the chat template escapes, as DuckDB's regular expressions want it
+_CONTROL = (
+    r"\|start\|>|\|message\|>|\|end\|>|\|image\|>|\|audio\|>|\|document\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|"
+    r"\|startoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|\|eot_id\|>|s>|/s>|unk>|pad>|<SYS>>|</SYS>>|INST\]|/INST\]"
+)
+
+SQL["op9_chat"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|start|><|message|><|end|>' || role || text)
+    + len(regexp_extract_all(text, '[<\[]\\*({_CONTROL})')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
