@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm import chat, mixing, near_dup, oracles, substring, toxicity
+from rankwright.llm import chat, mixing, near_dup, oracles, secrets, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,3 +67,8 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_and_read(messages).select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
+
+
+@query
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
