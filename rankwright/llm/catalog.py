@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm import chat, mixing, near_dup, oracles, secrets, substring, toxicity
+from rankwright.llm import chat, mixing, near_dup, oracles, secrets, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,3 +72,8 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"))

@@ -96,3 +96,19 @@ SELECT conv_id, count(*) AS n_turns,
     + len(regexp_extract_all(text, '[<\[]\\*({_CONTROL})')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+_HEX = "substr(sha1(coalesce(html, '')), {}, 10)"
+_GROUP = "lpad(to_base(('0x' || " + _HEX + ")::UBIGINT::BIGINT, 32), 8, '0')"
+
+SQL["op7_warc"] = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+    translate({" || ".join(_GROUP.format(i) for i in (1, 11, 21, 31))},
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
