@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm import chat, mixing, near_dup, oracles, secrets, substring, toxicity, warc
+from rankwright.llm import chat, mixing, near_dup, oracles, secrets, substring, toxicity, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,8 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_and_read(table(spark, folder, "pages"))
+
+
+@query
+def op5_vptree(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)

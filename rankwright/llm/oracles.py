@@ -112,3 +112,16 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+SQL["op5_vptree"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)
+SELECT q.vec_id AS query_id, (row_number() OVER best)::INT AS rank, c.vec_id,
+  list_cosine_similarity(q.e, c.e) AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+QUALIFY row_number() OVER best <= 5
+WINDOW best AS (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id)
+"""
