@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm import chat, mixing, near_dup, oracles, secrets, substring, toxicity, vptree, warc
+from rankwright.llm import chat, decontaminate, mixing, near_dup, oracles, secrets, substring, toxicity, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,3 +82,8 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_vptree(spark: SparkSession, folder: str) -> DataFrame:
     return vptree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
