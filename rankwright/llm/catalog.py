@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm import chat, decontaminate, mixing, near_dup, oracles, secrets, substring, toxicity, vptree, warc
+import corpus_pipeline
+from rankwright.llm import chat, decontaminate, mixing, near_dup, oracles, pii, secrets, substring, toxicity, vptree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +16,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
 
 
+#: Rows in a batch that is handed to Python; long texts make batches of the usual size too large.
+BATCH_ROWS = "1000"
+
+
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    def tuned(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return run(spark, folder)
+
+    QUERIES[run.__name__] = tuned
     return run
 
 
@@ -87,3 +96,13 @@ def op5_vptree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace_pii(table(spark, folder, "documents")).select("doc_id", "n_entities", "text")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

@@ -61,16 +61,16 @@ def _targets(sources: DataFrame, spec: MixSpec) -> DataFrame:
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """Adds ``size, source_size, target, taken`` to ``docs`` (``doc_id, text, source``, others kept).
+    """Adds ``size, source_size, target, taken, copies`` to ``docs (doc_id, text, source)``.
 
-    ``taken`` is the words the mix takes of a document, repeats counted: its size times the number
-    of times it is taken, which is at most ``spec.epochs`` rounded up. The taken words of a source
+    ``copies`` is how often the mix takes a document, at most ``spec.epochs`` rounded up, and
+    ``taken`` its words, repeats counted. Other columns are kept. The taken words of a source
     come as near to its target as whole documents in the seeded order allow. Null is a source of
     its own, after all others. A null or empty text has size 0. Rows that agree in doc_id, source
     and size have the same place in the order and are taken alike. A column that the result adds replaces one of
     the same name. An empty table gives no rows.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
     docs = docs.select(*names, n_words(F.col("text").cast("string")).alias("size"))
     sized = write_table(docs.select("doc_id", "source", "size"), "sizes")
     targets = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), spec)
@@ -105,7 +105,10 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     plan = plan.select("source", "source_size", "target", "times", F.coalesce("end", "begin").alias("end"))
     out = _by_source(docs, write_table(plan, "plan"))
     again = F.coalesce(F.col("end") >= _order_key(spec), F.lit(False)).cast("long")
-    return out.select(*names, "size", "source_size", "target", (F.col("size") * (F.col("times") + again)).alias("taken"))
+    copies = F.col("times") + again
+    return out.select(
+        *names, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
+    )
 
 
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

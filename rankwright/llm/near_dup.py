@@ -193,6 +193,23 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     )
 
 
+def keep_one_of_each(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps.
+
+    Of rows that share a kept doc_id one stays.
+    """
+    rows = write_table(near_duplicates(docs, spec).filter("n_shingles > 0 AND doc_id IS NOT NULL"), "rows")
+    gone = write_table(rows.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    same = F.col("doc_id").cast("long") == F.col("_id")
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    repeated = rows.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
+    repeated = write_table(repeated.filter("n > 1").select("_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def _unsettled(member: DataFrame, tested: DataFrame, comps: DataFrame, spec: NearDup) -> DataFrame:
     """Of buckets with several components, the members outside the largest one, called ``main``.
 

@@ -159,6 +159,22 @@ def _scan(model: ToxicityModel):
     return run
 
 
+def _clean(model: ToxicityModel):
+    """The rows whose score is below one half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = _Weights(model)
+        for batch in batches:
+            keep = []
+            for text in batch.column("text"):
+                n, found = _segments(text.as_py() or "", weights)
+                value = evidence(n, [s for _, _, s in found], model)
+                keep.append(model.shift + model.slope * math.log1p(value) < 0)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 _SCANNED = "n_words long, passages array<struct<first: long, last: long, score: double>>, evidence double, score double"
 
 
@@ -247,3 +263,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = texts.mapInArrow(_scan(model), f"doc_id long, {_SCANNED}")
     return out.select("doc_id", "score", "passages", "n_words", "evidence")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below one half."""
+    return docs.mapInArrow(_clean(model), docs.schema)
