@@ -14,6 +14,7 @@ from rankwright.operators.skew import (
     BROADCAST_ROWS,
     BROADCAST_TOTAL_BYTES,
     ROWS_PER_TASK,
+    find_hot_keys,
     lookup_join,
     running_total,
 )
@@ -34,7 +35,7 @@ def _entry(name: str, kind: T.DataType) -> str:
 
 
 def value_stats(df: DataFrame, features: Sequence[str], label: str | None = None) -> DataFrame:
-    """Rows, and chosen rows, of every value of every feature, NULL included.
+    """Rows, chosen rows and rows with a label, of every value of every feature, NULL included.
 
     One scan for all features: each row is turned into its values, and values are counted in the
     map tasks before anything is shuffled.
@@ -44,7 +45,9 @@ def value_stats(df: DataFrame, features: Sequence[str], label: str | None = None
     chosen = "CAST(NULL AS bigint)" if label is None else label
     long = df.selectExpr(f"{chosen} AS _chosen", f"inline(array({entries}))")
     return long.groupBy("feature", "value", "whole", "real").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("_chosen").alias("chosen")
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("_chosen").alias("chosen"),
+        F.count("_chosen").alias("labelled"),
     )
 
 
@@ -86,10 +89,10 @@ def fill_values(stats: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Dictionary:
-    """What is known of one feature's codes: whether they fit a broadcast, and an only value."""
+    """What is known of one feature's codes: whether they fit a broadcast, and an only entry."""
 
     small: bool
-    only: str | None = None
+    only: tuple[str, int] | None = None
 
 
 def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
@@ -101,7 +104,7 @@ def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
     sizes = codes.groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.octet_length("value") + 16).alias("bytes"),
-        F.min("value").alias("first"),
+        F.min(F.struct("value", "code")).alias("first"),
     )
     measured, taken = {}, 0
     for r in sorted(sizes.collect(), key=lambda r: (r.bytes, r.feature)):
@@ -111,7 +114,8 @@ def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
             and r.bytes <= BROADCAST_BYTES
             and taken <= BROADCAST_TOTAL_BYTES
         )
-        measured[r.feature] = Dictionary(small, r.first if r.rows == 1 else None)
+        only = (r["first"].value, r["first"].code) if r.rows == 1 else None
+        measured[r.feature] = Dictionary(small, only)
     return measured
 
 
@@ -126,10 +130,12 @@ def apply_codes(
     """Replace each category by its code; a value without one becomes -1.
 
     Features whose dictionary is measured small are looked up by broadcast, all in one stage; one
-    with a single value needs no lookup.
+    with a single value needs no lookup. Hot values of the others are searched for once.
     """
     known = measure_codes(codes) if dictionaries is None else dictionaries
     joined = [c for c in features if c in known and known[c].only is None]
+    large = {f"_value_{c}": F.col(c) for c in joined if not known[c].small}
+    hot = find_hot_keys(df, large, rows_per_task)
     keyed = df
     for name in joined:
         dictionary = codes.filter(F.col("feature") == name).select(
@@ -146,15 +152,15 @@ def apply_codes(
                 [f"_value_{name}"],
                 small=False,
                 spread_by=(row_id,),
-                rows_per_task=rows_per_task,
+                hot=hot[f"_value_{name}"],
             )
 
     def coded(name: str) -> Column:
         if name in joined:
             return F.coalesce(F.col(f"_code_{name}"), F.lit(UNSEEN))
         if name in known:
-            same = F.col(name).cast("string") == F.lit(known[name].only)
-            return F.when(same, F.lit(0)).otherwise(F.lit(UNSEEN))
+            value, code = known[name].only
+            return F.when(F.col(name).cast("string") == F.lit(value), F.lit(code)).otherwise(F.lit(UNSEEN))
         return F.lit(UNSEEN)
 
     wanted = set(features)

@@ -11,6 +11,7 @@ from rankwright.operators.skew import (
     find_hot_groups,
     fits_broadcast,
     lookup_join,
+    null_safe_join,
     running_total,
     split_hot,
     with_group_stats,
@@ -125,8 +126,12 @@ def _attach_place(
     place = F.col("_below") + (F.col("_ties") + 1) / 2
     places = ranks.select(group, value, place.alias("_place"))
     small = fits_broadcast(places)
-    hot = None if small else find_hot_groups(narrow, [group, value], rows_per_task)
-    return lookup_join(df, places, [group, value], small, (row_id,), hot=hot)
+    # A session without an id is a session too: inside a struct, NULL equals NULL.
+    session = F.struct(F.col(group)).alias("_session")
+    on = ["_session", value]
+    hot = None if small else find_hot_groups(narrow.select(session, value), on, rows_per_task)
+    places = places.select(session, value, "_place")
+    return lookup_join(df.select("*", session), places, on, small, (row_id,), hot=hot).drop("_session")
 
 
 def _by_aggregate(
@@ -151,7 +156,7 @@ def _by_aggregate(
         for i, m in enumerate(middle)
     ]
     medians = (
-        prices.join(F.broadcast(figures.select(group, "_prices")), group)
+        null_safe_join(prices, figures.select(group, "_prices"), [group], "inner")
         .groupBy(group)
         .agg(*at_middle)
         .select(group, ((F.col("_m0") + F.col("_m1")) / 2).alias("_price_median"))
@@ -161,7 +166,7 @@ def _by_aggregate(
         out = _attach_place(out, narrow, ranks, value, group, row_id, rows_per_task)
         out = out.withColumnRenamed("_place", name)
     # One row per hot session: bounded, see the skew module.
-    return out.join(F.broadcast(figures), group, "left").join(F.broadcast(medians), group, "left")
+    return null_safe_join(null_safe_join(out, figures, [group], "left"), medians, [group], "left")
 
 
 def _compare(df: DataFrame, price: str) -> DataFrame:

@@ -15,6 +15,17 @@ def carrier_popularity(train: DataFrame, leg: int, label: str = "selected") -> D
     return train.groupBy(CARRIER_COLUMNS[leg]).agg(F.avg(label).alias(f"carrier{leg}_pop"))
 
 
+def popularity_from_stats(stats: DataFrame) -> dict[int, DataFrame]:
+    """The same of all legs, from one count of values with their labels."""
+    share = F.col("chosen") / F.col("labelled")
+    return {
+        leg: stats.filter((F.col("feature") == name) & F.col("value").isNotNull()).select(
+            F.col("value").alias(name), share.alias(f"carrier{leg}_pop")
+        )
+        for leg, name in enumerate(CARRIER_COLUMNS)
+    }
+
+
 def route_frequency(train: DataFrame) -> DataFrame:
     """Offers per round trip; one-way offers share the NULL route."""
     return (
@@ -49,11 +60,13 @@ def attach_carrier_popularity(
     popularity: dict[int, DataFrame],
     small: dict[int, bool] | None = None,
     row_id: str = "Id",
+    hot: dict[str, HotGroups] | None = None,
 ) -> DataFrame:
     """Popularity of both legs' carriers, 0.0 for an unknown or absent one, and their product."""
     for leg, table in popularity.items():
-        known = None if small is None else small[leg]
-        df = lookup_join(df, table, [CARRIER_COLUMNS[leg]], known, (row_id,))
+        known = None if small is None else small.get(leg)
+        name = CARRIER_COLUMNS[leg]
+        df = lookup_join(df, table, [name], known, (row_id,), hot=(hot or {}).get(name))
     pops = {f"carrier{leg}_pop": F.coalesce(f"carrier{leg}_pop", F.lit(0.0)) for leg in (0, 1)}
     return df.withColumns(pops).withColumn(
         "carrier_pop_product", F.col("carrier0_pop") * F.col("carrier1_pop")
@@ -61,10 +74,14 @@ def attach_carrier_popularity(
 
 
 def attach_route_frequency(
-    df: DataFrame, routes: DataFrame, small: bool | None = None, row_id: str = "Id"
+    df: DataFrame,
+    routes: DataFrame,
+    small: bool | None = None,
+    row_id: str = "Id",
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """``rt_route_count`` as found, and ``round_trip_freq`` with 0 for an unknown route."""
-    joined = lookup_join(df, routes, ["round_trip_route"], small, (row_id,))
+    joined = lookup_join(df, routes, ["round_trip_route"], small, (row_id,), hot=hot)
     return joined.withColumn("round_trip_freq", F.coalesce("rt_route_count", F.lit(0)))
 
 
@@ -87,5 +104,12 @@ def with_direct_cheapest(
 def attach_offers(
     ranked: DataFrame, offers: DataFrame, keys: tuple[str, str] = ("ranker_id", "Id")
 ) -> DataFrame:
-    """Offer details back on ranked ids. Both keys together are unique, so no skew arises."""
-    return ranked.join(offers, list(keys), "left")
+    """Offer details back on ranked ids. Both keys together are unique, so no skew arises.
+
+    An offer without a session id finds its details too.
+    """
+    group, row_id = keys
+    named = {k: f"_right_{k}" for k in keys}
+    right = offers.withColumnsRenamed(named)
+    same = F.col(group).eqNullSafe(F.col(named[group])) & (F.col(row_id) == F.col(named[row_id]))
+    return ranked.join(right, same, "left").drop(*named.values())

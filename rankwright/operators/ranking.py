@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,27 +69,30 @@ def rank_requests(
     session: str = "ranker_id",
     row_id: str = "Id",
     hot: HotGroups | None = None,
-    page_rows: int = PAGE_ROWS,
+    page_rows: int | None = PAGE_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One response per request: its offers as ``{Id, score}``, best first.
 
     A request beyond ``page_rows`` offers goes on over further rows, numbered by ``page``, so no
-    array grows without bound and no offer is left out.
+    array grows without bound and no offer is left out. Requests that are known to fit a row have
+    no pages if ``page_rows`` is None. ``carry`` are more columns of the request.
     """
     ranked = rank_in_group(
-        df.select(request, session, row_id, score), score, request, row_id, "_rank", hot
+        df.select(request, *carry, session, row_id, score), score, request, row_id, "_rank", hot
     )
     entry = F.struct(
         F.col("_rank"), F.col(row_id).alias("Id"), F.col(score).cast("double").alias("score")
     )
-    page = ((F.col("_rank") - 1) / page_rows).cast("int").alias("page")
+    pages = [] if page_rows is None else [((F.col("_rank") - 1) / page_rows).cast("int").alias("page")]
     return (
-        ranked.groupBy(request, session, page)
+        ranked.groupBy(request, *carry, session, *pages)
         .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
         .select(
             request,
+            *carry,
             session,
-            "page",
+            *(["page"] if pages else []),
             F.transform("_entries", lambda e: F.struct(e["Id"], e["score"])).alias(
                 "ranked_flights"
             ),

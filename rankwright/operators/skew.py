@@ -76,7 +76,37 @@ def find_hot_groups(
     return HotGroups(tuple(keys), limit, table, rows)
 
 
-def _null_safe_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def find_hot_keys(
+    df: DataFrame, keys: dict[str, Column], rows_per_task: int = ROWS_PER_TASK
+) -> dict[str, HotGroups]:
+    """Oversized values of several lookup keys, each named and given as an expression.
+
+    All are counted in one pass over ``df``, before anything is joined to it, so a job with many
+    large lookups searches once.
+    """
+    if not keys:
+        return {}
+    entries = F.array(
+        *[F.struct(F.lit(n).alias("key"), c.cast("string").alias("value")) for n, c in keys.items()]
+    )
+    counts = (
+        df.select(F.inline(entries)).groupBy("key", "value").agg(F.count(F.lit(1)).alias(_HOT_ROWS))
+    )
+    counts = write_table(counts, "counts")
+    seen = counts.groupBy("key").agg(F.max(_HOT_ROWS).alias("largest"), F.sum(_HOT_ROWS).alias("total"))
+    found = {}
+    for r in seen.collect():  # one row per key
+        limit = max(rows_per_task, math.ceil(r.total / MAX_HOT_GROUPS))
+        if r.largest <= limit:
+            found[r.key] = HotGroups((r.key,), limit)
+            continue
+        table = counts.filter((F.col("key") == r.key) & (F.col(_HOT_ROWS) > limit))
+        table = table.select(F.col("value").alias(r.key), _HOT_ROWS)
+        found[r.key] = HotGroups((r.key,), limit, table, table.agg(F.sum(_HOT_ROWS)).first()[0])
+    return {n: found.get(n, HotGroups((n,), rows_per_task)) for n in keys}
+
+
+def null_safe_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join a broadcast table on keys that may be NULL; the table's key columns are dropped."""
     renamed = small.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = reduce(
@@ -87,14 +117,14 @@ def _null_safe_join(df: DataFrame, small: DataFrame, keys: Sequence[str], how: s
 
 
 def _mark(df: DataFrame, hot: HotGroups) -> DataFrame:
-    return _null_safe_join(df, hot.table.select(*hot.keys, _HOT_ROWS), hot.keys, "left")
+    return null_safe_join(df, hot.table.select(*hot.keys, _HOT_ROWS), hot.keys, "left")
 
 
 def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary groups, and rows of hot groups."""
     marked = _mark(df, hot)
     ordinary = marked.filter(F.col(_HOT_ROWS).isNull()).drop(_HOT_ROWS)
-    return ordinary, _null_safe_join(df, hot.table.select(*hot.keys), hot.keys, "left_semi")
+    return ordinary, null_safe_join(df, hot.table.select(*hot.keys), hot.keys, "left_semi")
 
 
 def _spread(spread_by: Sequence[str], hot: HotGroups) -> Column:
@@ -119,11 +149,11 @@ def with_group_stats(
         window = Window.partitionBy(*keys)
         return df.select("*", *[stat.over(window).alias(name) for name, stat in stats.items()])
     exact = (
-        _null_safe_join(df, hot.table.select(*keys), keys, "left_semi")
+        null_safe_join(df, hot.table.select(*keys), keys, "left_semi")
         .groupBy(*keys)
         .agg(*[stat.alias(f"_exact_{name}") for name, stat in stats.items()])
     )
-    marked = _null_safe_join(_mark(df, hot), exact, keys, "left")
+    marked = null_safe_join(_mark(df, hot), exact, keys, "left")
     window = Window.partitionBy(*keys, _SALT)
     is_hot = F.col(_HOT_ROWS).isNotNull()
     return marked.withColumn(_SALT, _spread(spread_by, hot)).select(
@@ -198,7 +228,7 @@ def _running_slices(
     )
     numbered = _running_window(pieces, [*keys, _SLICE], order, out, weight)
     return (
-        _null_safe_join(numbered, starts, [*keys, _SLICE], "left")
+        null_safe_join(numbered, starts, [*keys, _SLICE], "left")
         .withColumn(out, F.col(out) + F.col("_start"))
         .select(*df.columns, out)
     )

@@ -76,10 +76,11 @@ def make_pairs(
 
     With one chosen offer per session, as in search logs, these are all the pairs. With several,
     each other offer meets the one its id's hash points to, so the pairs never outnumber the
-    offers. ``features`` come along twice, prefixed ``best_`` and ``other_``.
+    offers. ``features`` come along twice, prefixed ``best_`` and ``other_``. Offers without a
+    session id were not shown together, and make no pairs.
     """
     hot = find_hot_groups(df, [group]) if hot is None else hot
-    rows = df.select(group, row_id, label, *features)
+    rows = df.select(group, row_id, label, *features).filter(F.col(group).isNotNull())
     chosen_rows = {"_chosen": F.count_if(F.col(label) > 0)}
     counted = with_group_stats(rows, [group], chosen_rows, hot, (row_id,))
     others = counted.filter((F.col(label) <= 0) & (F.col("_chosen") > 0)).select(

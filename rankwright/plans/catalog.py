@@ -21,7 +21,7 @@ from rankwright.plans.features import (
     save_artifacts,
 )
 from rankwright.plans.recommend import recommend, score_requests
-from rankwright.schema import CATEGORIES, OFFER_SCHEMA, REQUEST_SCHEMA, STRAY_INDEX
+from rankwright.schema import CARRIER_COLUMNS, CATEGORIES, OFFER_SCHEMA, REQUEST_SCHEMA, STRAY_INDEX
 from rankwright.session import scratch_path, tune, write_table
 from rankwright.sources import readers, tables, writers
 from rankwright.streaming.requests import read_request_stream, recommend_stream
@@ -111,6 +111,25 @@ def _(spark, folder):
     )
 
 
+@query(
+    "rejected_requests",
+    "SELECT CASE WHEN ranker_id % 7 = 0 THEN 'unreadable' ELSE 'empty' END AS reason,"
+    " count(DISTINCT request_id) AS requests FROM flights WHERE ranker_id % 7 < 2 GROUP BY 1",
+    O.REQUESTS,
+)
+def _(spark, folder):
+    """Requests of which some are cut short and some have lost their offers."""
+    path = scratch_path(spark, "damaged")
+    requests = tables.requests(spark, folder)
+    kept = F.when(F.col("ranker_id") % 7 == 1, F.filter("flights", lambda f: F.lit(False)))
+    requests = requests.withColumn("flights", kept.otherwise(F.col("flights")))
+    line = F.to_json(F.struct("request_id", "ranker_id", "flights"))
+    cut = F.when(F.col("ranker_id") % 7 == 0, F.substring(line, 1, 40)).otherwise(line)
+    requests.select(cut.alias("value")).write.text(path)
+    rejected = readers.rejected_requests(spark, path)
+    return rejected.groupBy("reason").agg(F.count("*").alias("requests"))
+
+
 def _training_part(spark: SparkSession, folder: str) -> DataFrame:
     view = tables.offers(spark, folder)
     parted = split.time_split(view, hot=tables.session_profile(spark, folder))
@@ -183,6 +202,8 @@ def _session_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flatten(responses: DataFrame) -> DataFrame:
+    if "page" not in responses.columns:
+        responses = responses.withColumn("page", F.lit(0))
     return responses.select(
         "request_id", "ranker_id", "page", F.posexplode("ranked_flights")
     ).select(
@@ -634,9 +655,8 @@ _POPS = ["carrier0_pop", "carrier1_pop", "carrier_pop_product"]
 )
 def _(spark, folder):
     view = tables.offers(spark, folder)
-    popularity = {
-        leg: write_table(lookups.carrier_popularity(view, leg), f"carrier{leg}") for leg in (0, 1)
-    }
+    stats = write_table(encode.value_stats(view, CARRIER_COLUMNS, "selected"), "values")
+    popularity = lookups.popularity_from_stats(stats)
     return tidy(lookups.attach_carrier_popularity(view, popularity), "Id", *_POPS)
 
 
@@ -779,24 +799,26 @@ _RECOMMEND_SQL = (
 
 @query("score_requests", "SELECT * FROM scored", *_RECOMMEND_TABLES)
 def _(spark, folder):
-    return score_requests(tables.requests(spark, folder), _artifacts(spark, folder), fixed_score())
+    requests, artifacts = tables.requests(spark, folder), _artifacts(spark, folder)
+    return score_requests(requests, artifacts, fixed_score(), list(FIXED_SCORE_FEATURES))
 
 
 @query("recommend", _RECOMMEND_SQL, *_RECOMMEND_TABLES)
 def _(spark, folder):
-    requests = tables.requests(spark, folder)
-    return _flatten(recommend(requests, _artifacts(spark, folder), fixed_score()))
+    requests, artifacts = tables.requests(spark, folder), _artifacts(spark, folder)
+    return _flatten(recommend(requests, artifacts, fixed_score(), list(FIXED_SCORE_FEATURES)))
 
 
 @query("recommend_stream", _RECOMMEND_SQL, *_RECOMMEND_TABLES)
 def _(spark, folder):
     out = scratch_path(spark, "responses")
     stream = read_request_stream(spark, _request_file(spark, folder))
+    progress, features = scratch_path(spark, "progress"), list(FIXED_SCORE_FEATURES)
     recommend_stream(
-        stream, _artifacts(spark, folder), fixed_score(), out, scratch_path(spark, "progress")
+        stream, _artifacts(spark, folder), fixed_score(), out, progress, features
     ).awaitTermination()
     schema = (
-        "request_id string, ranker_id long, page int,"
+        "request_id string, ranker_id long,"
         " ranked_flights array<struct<Id: string, score: double>>, batch long"
     )
     return _flatten(spark.read.schema(schema).json(out))
@@ -906,9 +928,7 @@ def _(spark, folder):
 @query("train_pointwise")
 def _(spark, folder):
     features = _labelled_features(spark, folder)
-    model = train.train_pointwise(
-        features.filter(F.col("part") == "train"), depth=3, rounds=5
-    )
+    model = train.train_pointwise(features.filter(F.col("part") == "train"))
     return train.score(features, model).select("Id", "ranker_id", "part", "score")
 
 
@@ -916,7 +936,7 @@ def _(spark, folder):
 def _(spark, folder):
     features = _labelled_features(spark, folder)
     train_rows = features.filter(F.col("part") == "train")
-    model = train.train_pointwise(train_rows, depth=3, rounds=3)
+    model = train.train_pointwise(train_rows)
     return ranking.most_important(train.feature_importance(spark, model))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,13 @@ from rankwright.operators.encode import (
     value_stats,
 )
 from rankwright.operators.groups import group_features, with_offer_count
-from rankwright.operators.lookups import attach_carrier_popularity, attach_route_frequency
+from rankwright.operators.lookups import (
+    attach_carrier_popularity,
+    attach_route_frequency,
+    popularity_from_stats,
+)
 from rankwright.operators.rows import route_key, row_features
-from rankwright.operators.skew import HotGroups, find_hot_groups
+from rankwright.operators.skew import HotGroups, find_hot_groups, find_hot_keys
 from rankwright.schema import CARRIER_COLUMNS, CATEGORIES, OFFER_SCHEMA
 from rankwright.session import write_table
 
@@ -35,17 +39,21 @@ class Artifacts:
     carriers: dict[int, DataFrame]
     routes: DataFrame
     codes: DataFrame
-    small_carriers: dict[int, bool] = field(default_factory=dict)
-    small_routes: bool = False
-    dictionaries: dict[str, Dictionary] = field(default_factory=dict)
+    small_carriers: dict[int, bool] | None = None  # None: not measured
+    small_routes: bool | None = None
+    dictionaries: dict[str, Dictionary] | None = None
 
 
 def _measured(carriers: dict[int, DataFrame], routes: DataFrame, codes: DataFrame) -> Artifacts:
     """Measure all lookups in one job."""
-    keys = codes.select("feature", "value")
+    keys = codes.select("feature", "value", F.col("code").cast("int").alias("code"))
     for name, table in [*((f"carrier{leg}", t) for leg, t in carriers.items()), (ROUTE, routes)]:
         keys = keys.unionByName(
-            table.select(F.lit(name).alias("feature"), F.col(table.columns[0]).alias("value"))
+            table.select(
+                F.lit(name).alias("feature"),
+                F.col(table.columns[0]).alias("value"),
+                F.lit(0).alias("code"),
+            )
         )
     sizes = measure_codes(keys)
     # A lookup without rows has no size to report, and is small.
@@ -73,12 +81,7 @@ def fit_artifacts(train: DataFrame, label: str = "selected") -> Artifacts:
     rows = align_schema(train).withColumn(ROUTE, route_key())
     stats = write_table(value_stats(rows, [*CATEGORIES, ROUTE], label), "values")
     found = F.col("value").isNotNull()
-    carriers = {
-        leg: stats.filter((F.col("feature") == name) & found).select(
-            F.col("value").alias(name), (F.col("chosen") / F.col("rows")).alias(f"carrier{leg}_pop")
-        )
-        for leg, name in enumerate(CARRIER_COLUMNS)
-    }
+    carriers = popularity_from_stats(stats)
     routes = stats.filter((F.col("feature") == ROUTE) & found).select(
         F.col("value").alias(ROUTE), F.col("rows").alias("rt_route_count")
     )
@@ -113,6 +116,32 @@ def load_artifacts(spark: SparkSession, folder: str) -> Artifacts:
     return _measured(carriers, routes, codes)
 
 
+def load_fitted_files(spark: SparkSession, folder: str) -> Artifacts:
+    """Read lookups fitted elsewhere: one parquet file each, and a JSON dictionary of codes.
+
+    The files are ``carrier0_pop.parquet``, ``carrier1_pop.parquet``, ``round_trip_freq.parquet``
+    and ``cat_mappings.json``, an object of the form ``{feature: {value: code}}``. Codes are kept
+    as they are.
+    """
+    carriers = {}
+    for leg, name in enumerate(CARRIER_COLUMNS):
+        table = spark.read.parquet(f"{folder}/carrier{leg}_pop.parquet")
+        carriers[leg] = table.select(
+            F.col(name).cast("string").alias(name),
+            F.col(f"carrier{leg}_pop").cast("double").alias(f"carrier{leg}_pop"),
+        ).filter(F.col(name).isNotNull())
+    routes = spark.read.parquet(f"{folder}/round_trip_freq.parquet")
+    count = next(c for c in routes.columns if c != ROUTE)
+    routes = routes.select(
+        F.col(ROUTE).cast("string").alias(ROUTE), F.col(count).cast("long").alias("rt_route_count")
+    ).filter(F.col(ROUTE).isNotNull())
+    text = spark.read.option("wholetext", True).text(f"{folder}/cat_mappings.json")
+    parsed = F.from_json("value", "map<string, map<string, int>>")
+    by_feature = text.select(F.explode(parsed).alias("feature", "values"))
+    codes = by_feature.select("feature", F.explode("values").alias("value", "code"))
+    return _measured(carriers, routes, write_table(codes, "codes"))
+
+
 def build_features(
     df: DataFrame,
     artifacts: Artifacts,
@@ -125,12 +154,21 @@ def build_features(
     The session size comes first so that the exchange carries the raw columns only.
     """
     hot = find_hot_groups(df, [group]) if hot is None else hot
-    sized = with_offer_count(align_schema(df), group, row_id, hot)
+    aligned = align_schema(df)
+    sized = with_offer_count(aligned, group, row_id, hot)
     compared = group_features(row_features(sized), group, row_id, hot=hot)
+    # Hot values of lookups that are shuffled are counted on the input, before any join.
+    small = artifacts.small_carriers or {}
+    large = {CARRIER_COLUMNS[leg]: F.col(CARRIER_COLUMNS[leg]) for leg, s in small.items() if not s}
+    if artifacts.small_routes is False:
+        large[ROUTE] = route_key()
+    busy = find_hot_keys(aligned, large)
     popular = attach_carrier_popularity(
-        compared, artifacts.carriers, artifacts.small_carriers, row_id
+        compared, artifacts.carriers, artifacts.small_carriers, row_id, busy
+    )
+    routed = attach_route_frequency(
+        popular, artifacts.routes, artifacts.small_routes, row_id, busy.get(ROUTE)
     )
-    routed = attach_route_frequency(popular, artifacts.routes, artifacts.small_routes, row_id)
     return fill_by_type(routed.drop("rt_route_count", ROUTE))
 
 

@@ -13,8 +13,11 @@ from rankwright.operators.ranking import rank_requests
 from rankwright.operators.skew import no_hot_groups
 from rankwright.operators.train import LinearRanker, score
 from rankwright.plans.features import Artifacts, build_features, encode_features
+from rankwright.schema import CATEGORIES
 from rankwright.sources.readers import request_offers
 
+_ROW = "_request_row"
+
 
 def score_requests(
     requests: DataFrame,
@@ -24,24 +27,36 @@ def score_requests(
 ) -> DataFrame:
     """``request_id, ranker_id, Id, score`` of every offer in the requests.
 
-    Offers are compared within their ``request_id``, as session ids may repeat between requests.
-    A request arrives as one row, so its offers fit a task by construction and no search for
-    oversized groups is needed.
+    Offers are compared within their request, as session ids and request ids may repeat between
+    requests. A request arrives as one row, so its offers fit a task by construction and no search
+    for oversized groups is needed. Only categories among ``features`` are coded; with a score
+    expression and no ``features`` all are.
     """
-    offers = request_offers(drop_empty_requests(requests))
-    built = build_features(offers, artifacts, "request_id", hot=no_hot_groups(["request_id"]))
-    coded = encode_features(built, artifacts)
+    return _scored(requests, artifacts, model, features).drop(_ROW)
+
+
+def _scored(
+    requests: DataFrame,
+    artifacts: Artifacts,
+    model: LinearRanker | PipelineModel | Column,
+    features: Sequence[str] | None,
+) -> DataFrame:
+    """Scores with the key of the request's row, which tells apart requests with one id."""
+    keyed = drop_empty_requests(requests).withColumn(_ROW, F.monotonically_increasing_id())
+    offers = request_offers(keyed, _ROW)
+    built = build_features(offers, artifacts, _ROW, hot=no_hot_groups([_ROW]))
+    if features is None and isinstance(model, LinearRanker):
+        features = list(model.weights)
+    elif features is None and isinstance(model, PipelineModel):
+        features = model.stages[0].getInputCols()
+    needed = CATEGORIES if features is None else [c for c in CATEGORIES if c in set(features)]
+    coded = encode_features(built, artifacts, needed)
     if isinstance(model, Column):
         scored = coded.withColumn("score", model)
     else:
-        if features is None:
-            linear = isinstance(model, LinearRanker)
-            features = list(model.weights) if linear else model.stages[0].getInputCols()
-        matrix = numeric_matrix(
-            validate_features(coded, features), features, keep=["request_id", "ranker_id", "Id"]
-        )
-        scored = score(matrix, model)
-    return scored.select("request_id", "ranker_id", "Id", F.col("score").cast("double"))
+        keep = [_ROW, "request_id", "ranker_id", "Id"]
+        scored = score(numeric_matrix(validate_features(coded, features), features, keep=keep), model)
+    return scored.select(_ROW, "request_id", "ranker_id", "Id", F.col("score").cast("double"))
 
 
 def recommend(
@@ -50,6 +65,12 @@ def recommend(
     model: LinearRanker | PipelineModel | Column,
     features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One ranked response per request; ``model`` may also be a plain score expression."""
-    scored = score_requests(requests, artifacts, model, features)
-    return rank_requests(scored, hot=no_hot_groups(["request_id"]))
+    """One ranked response per request; ``model`` may also be a plain score expression.
+
+    A request comes as one row, and so does its response, whatever its length.
+    """
+    scored = _scored(requests, artifacts, model, features)
+    ranked = rank_requests(
+        scored, request=_ROW, hot=no_hot_groups([_ROW]), page_rows=None, carry=["request_id"]
+    )
+    return ranked.drop(_ROW)

@@ -43,13 +43,50 @@ def with_request_key(requests: DataFrame, file: str = "_file") -> DataFrame:
     return requests.withColumn("request_id", F.coalesce("request_id", made)).drop(file)
 
 
+_BROKEN = "_broken"
+
+
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """The requests in lines of JSON text; ``_broken`` has the lines with an unreadable field.
+
+    Blank lines are no requests.
+    """
+    schema = T.StructType([*REQUEST_SCHEMA.fields, T.StructField(_BROKEN, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    lines = lines.filter(F.trim("value") != "")
+    parsed = lines.withColumn("_request", F.from_json("value", schema, options))
+    return parsed.select("_request.*", "_file")
+
+
+def _request_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).withColumn("_file", F.col("_metadata.file_path"))
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Ranking requests, one JSON object per line, with a request id on each."""
-    lines = spark.read.schema(REQUEST_SCHEMA).json(path)
-    return with_request_key(lines.withColumn("_file", F.col("_metadata.file_path")))
+    """The readable ranking requests, one JSON object per line, with a request id on each.
+
+    A request with a field that can't be read as declared isn't ranked on what is left of it; see
+    ``rejected_requests``.
+    """
+    parsed = parse_requests(_request_lines(spark, path))
+    return with_request_key(parsed.filter(F.col(_BROKEN).isNull()).drop(_BROKEN))
+
+
+def rejected_requests(spark: SparkSession, path: str) -> DataFrame:
+    """``request_id, ranker_id, reason, text`` of the requests that get no response.
+
+    The reason is ``unreadable`` (broken JSON or a field of another type; ``text`` is the line) or
+    ``empty`` (no offers).
+    """
+    parsed = parse_requests(_request_lines(spark, path))
+    empty = F.coalesce(F.size("flights"), F.lit(0)) <= 0
+    reason = F.when(F.col(_BROKEN).isNotNull(), "unreadable").when(empty, "empty")
+    return parsed.select(
+        "request_id", "ranker_id", reason.alias("reason"), F.col(_BROKEN).alias("text")
+    ).filter(F.col("reason").isNotNull())
 
 
-def request_offers(requests: DataFrame) -> DataFrame:
+def request_offers(requests: DataFrame, *carry: str) -> DataFrame:
     """One row per offer, carrying the id and the session of its request."""
-    return requests.select("request_id", "ranker_id", F.inline("flights"))
+    return requests.select(*carry, "request_id", "ranker_id", F.inline("flights"))
 
