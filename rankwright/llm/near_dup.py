@@ -280,16 +280,18 @@ def _blocks(spec: NearDup):
         a, b = np.asarray(left.column("asking")), np.asarray(right.column("node"))
         found_a, found_b = [], []
         if len(a) and len(b):
-            sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in side] for side in (left.column("own"), right.column("shingles"))]
-            sizes = [np.array([len(x) for x in side]) for side in sets]
-            codes = np.unique(np.concatenate(sets[0]))
-            table = np.zeros((len(codes), len(b)), np.float32)
-            for i, x in enumerate(sets[1]):
-                at = np.minimum(np.searchsorted(codes, x), len(codes) - 1)
-                table[at[codes[at] == x], i] = 1
-            for i, x in enumerate(sets[0]):
-                shared = table[np.searchsorted(codes, x)].sum(axis=0, dtype=np.float64)
-                links = (100 * shared >= spec.percent * (sizes[0][i] + sizes[1] - shared)) & (b != a[i])
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in left.column("own")]
+            other = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("shingles")]
+            sizes = np.array([len(x) for x in other])
+            hashes, owner = np.concatenate(other), np.repeat(np.arange(len(b), dtype=np.int32), sizes)
+            order = np.argsort(hashes)
+            hashes, owner = hashes[order], owner[order]
+            for i, x in enumerate(own):
+                low = np.searchsorted(hashes, x, side="left")
+                many = np.searchsorted(hashes, x, side="right") - low
+                at = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+                shared = np.bincount(owner[at], minlength=len(b))
+                links = (100 * shared >= spec.percent * (len(x) + sizes - shared)) & (b != a[i])
                 found_b.append(b[links])
                 found_a.append(np.full(links.sum(), a[i]))
         empty = np.empty(0, np.int64)
