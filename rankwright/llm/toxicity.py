@@ -152,7 +152,7 @@ def _scan(model: ToxicityModel):
             rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(counts, pa.int64()), pa.array(passages, kind), pa.array(sums), pa.array(scores)],
+                [*rest, pa.array(counts, pa.int64()), pa.array(passages, kind), pa.array(sums, pa.float64()), pa.array(scores, pa.float64())],
                 [*names, "n_words", "passages", "evidence", "score"],
             )
 
