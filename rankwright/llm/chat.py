@@ -107,7 +107,7 @@ def _format(spec: ChatSpec, counter: Callable[[], Callable[[list[str]], list[int
                 tokens = [a + b for a, b in zip(tokens, count(texts))]
             kind = pa.list_(pa.struct([("number", pa.int64()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), batch.column("turn"), pa.array(texts), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(attached, kind), pa.array(tokens, pa.int64())],
+                [batch.column("conv_id"), batch.column("turn"), pa.array(texts, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(attached, kind), pa.array(tokens, pa.int64())],
                 ["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments", "n_tokens"],
             )
 
