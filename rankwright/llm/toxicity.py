@@ -34,7 +34,7 @@ class ToxicitySpec:
     beginnings: tuple[int, ...] = (4, 5, 6)
     prior: float = 0.05  # weight of the background counts in the Dirichlet prior
     least_z: float = 3.0
-    least_share: float = 0.77  # of the weight that a word seen in toxic documents only gets
+    least_share: float = 0.7  # of the weight that a word seen in toxic documents only gets
     density: float = 0.05  # share of toxic words in a toxic passage
     held: int = 300_000  # counts or weights a task keeps at once
 

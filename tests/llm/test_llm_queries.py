@@ -60,7 +60,7 @@ def test_toxicity_tells_held_out_documents_apart(spark):
     toxic = [r.score for r in rows if r.toxic]
     clean = [r.score for r in rows if not r.toxic]
     above = sum((a > b) + (a == b) / 2 for a in toxic for b in clean)
-    assert above / (len(toxic) * len(clean)) > 0.95
+    assert above / (len(toxic) * len(clean)) > 0.94
     assert all(0 <= r.score <= 1 for r in rows)
 
 
