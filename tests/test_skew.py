@@ -274,3 +274,21 @@ def test_group_size_may_come_first(rows, hot):
     for known in (hot, NONE):
         sized = groups.with_offer_count(rows, hot=known)
         same(groups.group_features(sized, hot=known).select(*names), plain)
+
+
+def test_large_dictionaries_search_hot_values_once(rows, monkeypatch):
+    features = ["carrier", "l0_seg", "day"]
+    codes = encode.fit_codes(rows, features)
+    plain = encode.apply_codes(rows, codes, features)
+    searched = []
+
+    def counted(df, keys, rows_per_task):
+        searched.append(sorted(keys))
+        assert "Join" not in df._jdf.queryExecution().analyzed().toString()
+        return skew.find_hot_keys(df, keys, rows_per_task)
+
+    monkeypatch.setattr(encode, "find_hot_keys", counted)
+    large = {c: encode.Dictionary(False) for c in features}
+    spread = encode.apply_codes(rows, codes, features, large, rows_per_task=PER_TASK)
+    same(spread, plain)
+    assert searched == [[f"_value_{c}" for c in sorted(features)]]
