@@ -925,6 +925,23 @@ def _(spark, folder):
     return train.score(features, model).select("Id", "ranker_id", "part", "score")
 
 
+@query(
+    "score_saved",
+    "SELECT Id, ranker_id, part, round(coalesce(totalPrice, 0) * -0.001::DOUBLE + n_rows * 0.5::DOUBLE, 6)"
+    " AS score FROM parted JOIN (SELECT Id, n_rows FROM ranked) USING (Id)",
+    O.SPLIT, O.RANKED,
+)
+def _(spark, folder):
+    """A pairwise model with known weights, saved, loaded and applied."""
+    hot = tables.session_profile(spark, folder)
+    parted = split.time_split(tables.offers(spark, folder, labelled=False), hot=hot)
+    path = scratch_path(spark, "model")
+    train.LinearRanker({"totalPrice": -0.001, "group_size": 0.5}).save(spark, path)
+    model = train.LinearRanker.load(spark, path)
+    scored = train.score(lookups.with_group_size(parted, hot=hot), model)
+    return tidy(scored, "Id", "ranker_id", "part", "score")
+
+
 @query("train_pointwise")
 def _(spark, folder):
     features = _labelled_features(spark, folder)
