@@ -16,6 +16,7 @@ from rankwright.llm.mixing import mix
 from rankwright.llm.near_dup import keep_one_of_each
 from rankwright.llm.pii import replace_pii
 from rankwright.llm.toxicity import drop_toxic, fit_toxicity
+from rankwright.llm.tuning import tune
 from rankwright.session import write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,11 +28,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
-    return drop_toxic(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    return drop_toxic(docs, fit_toxicity(docs, _table(tune(spark), sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    tune(spark)
     return keep_one_of_each(docs)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankwright.llm import chat, decontaminate, mixing, near_dup, oracles, pii, secrets, substring, toxicity, vptree, warc
+from rankwright.llm.tuning import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,16 +17,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = dict(oracles.SQL)
 
 
-#: Rows in a batch that is handed to Python; long texts make batches of the usual size too large.
-BATCH_ROWS = "1000"
-
-
 def query(run: Query) -> Query:
-    def tuned(spark: SparkSession, folder: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return run(spark, folder)
-
-    QUERIES[run.__name__] = tuned
+    QUERIES[run.__name__] = lambda spark, folder: run(tune(spark), folder)
     return run
 
 
