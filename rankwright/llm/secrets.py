@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary writes ordinary words with few tokens. A long string without spaces that
 needs many tokens for its characters is not made of words; unless it is a digest of a known length
-or an identifier (UUID, number), it is reported as ``random``.
+or an identifier (UUID, number), it is reported as ``random``. Strings that pass as a whole are
+tested in their parts between ``- _ = + /`` too, so that words beside a random part don't hide it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ _IDENTIFIER = re.compile(
     r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}",
     re.I | re.A,
 )
+_UUID = re.compile(r"(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])", re.I | re.A)
+_PART = re.compile(r"[A-Za-z0-9]+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,17 +88,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _outside(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What sorted ``spans`` leave of the range from ``start`` to ``end``."""
+    for a, b in spans:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def random_parts(value: str, efficiency, spec: SecretSpec) -> list[tuple[int, int]]:
+    """(start, end) of the random stretches of a string.
+
+    A part gains by its tokens and loses by its characters. A stretch begins with a part that gains,
+    ends where its sum is highest, and is given up when it falls below zero. Numbers and digests
+    count nothing, and the gaining parts must have ``_SHORTEST`` characters.
+    """
+    found = []
+    for first, last in _outside(0, len(value), [m.span() for m in _UUID.finditer(value)]):
+        parts = []
+        for m in _PART.finditer(value, first, last):
+            tokens = 0 if _IDENTIFIER.fullmatch(m[0]) else len(m[0]) / efficiency(m[0])
+            parts.append((m.start(), m.end(), tokens and spec.chars_per_token * tokens - len(m[0]), tokens > 0))
+        i = 0
+        while i < len(parts):
+            if parts[i][2] < 0 or not parts[i][3]:
+                i += 1
+                continue
+            total, best, end, size, dense = 0.0, -1.0, i, 0, 0
+            for j in range(i, len(parts)):
+                a, b, gain, counts = parts[j]
+                total += gain
+                if total < 0:
+                    break
+                if counts and gain >= 0:
+                    size += b - a
+                    if total >= best:
+                        best, end, dense = total, j, size
+            if dense >= _SHORTEST:
+                found.append((parts[i][0], parts[end][1]))
+            i = end + 1
+    return found
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], efficiency, spec: SecretSpec) -> list[tuple[int, int, int]]:
-    """Random strings that no base span touches."""
+    """Random strings, and random parts of strings, outside the base spans."""
     found = []
+    taken = [(a, b) for a, _, b in base]
     for m in _STRINGS.finditer(text):
-        value = m[0].strip("=-_/+")
-        if len(value) < _SHORTEST or _IDENTIFIER.fullmatch(value):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if efficiency(value) <= spec.chars_per_token:
-            found.append((m.start(), 3, m.end()))
+        for start, end in _outside(m.start(), m.end(), taken):
+            value = text[start:end].strip("=-_/+")
+            if len(value) < _SHORTEST or _IDENTIFIER.fullmatch(value):
+                continue
+            if efficiency(value) <= spec.chars_per_token:
+                found.append((start, 3, end))
+            else:
+                found += [(start + a, 3, start + b) for a, b in random_parts(text[start:end], efficiency, spec)]
     return found
 
 

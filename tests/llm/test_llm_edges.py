@@ -308,3 +308,27 @@ def test_secrets(spark, odd, nothing):
     assert rows == expected
     assert secrets.find_secrets(odd).filter("spans != ''").count() == 0
     assert secrets.find_secrets(nothing).count() == 0
+
+
+def test_random_strings_behind_words():
+    rng = random.Random(6)
+    spec = secrets.SecretSpec()
+    efficiency = secrets._Efficiency(spec)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    digest = hashlib.sha256(b"x").hexdigest()
+
+    def spans(text):
+        return secrets.random_spans(text, secrets.base_spans(text), efficiency, spec)
+
+    for before in (
+        "/customers/settings/integrations/production/accounts/callback/", "production-database-connection-service-account-",
+        f"/objects/{digest}/keys/", "/services/2024/notifications/123e4567-e89b-12d3-a456-426614174000/subscription/",
+    ):
+        plain = f"see {before}documents/description/overview"
+        assert spans(plain) == []
+        for _ in range(50):
+            key = "".join(rng.choice(letters) for _ in range(32))
+            text = f"see {before}{key}/documents"
+            assert any(a <= len(before) + 4 and b >= len(before) + 36 for a, _, b in spans(text)), text
+            split = "/customers/settings/integrations/production/accounts/callback/" + key[:15] + "+" + key[15:] + "/description"
+            assert any(b - a >= 24 for a, _, b in spans(split)), split
