@@ -55,18 +55,19 @@ def _shingles(words: Column, size: int) -> Column:
 
 
 def _fingerprints(windows: DataFrame, *keys: str) -> DataFrame:
-    """SimHash of the shingles in column ``h``, for each group of ``keys`` and ``m`` (their number).
+    """SimHash of the shingles in column ``h``, for each group of ``keys`` and ``m``.
 
     The 64 counts of set bits are kept in 32 sums of two halves each, added up before the shuffle.
+    Their majority is that of the shingles added, so equal rows give the fingerprint of one.
     """
     sums = [F.sum(F.expr(f"shiftright(h, {k}) & 4294967297L")).alias(f"s{k}") for k in range(32)]
-    counted = windows.groupBy(*keys, "m").agg(*sums)
+    counted = windows.groupBy(*keys, "m").agg(F.count("*").alias("added"), *sums)
     halves = F.array(*[f"s{k}" for k in range(32)])
     bits = F.expr(
         "aggregate(sequence(0, 63), 0L, (f, i) -> f | shiftleft(CAST("
-        "2 * (shiftrightunsigned(sums[i % 32], 32 * (i div 32)) & 4294967295L) > m AS BIGINT), i))"
+        "2 * (shiftrightunsigned(sums[i % 32], 32 * (i div 32)) & 4294967295L) > added AS BIGINT), i))"
     )
-    return counted.select(*keys, "m", halves.alias("sums")).select(*keys, "m", bits.alias("print"))
+    return counted.select(*keys, "m", "added", halves.alias("sums")).select(*keys, "m", bits.alias("print"))
 
 
 def _blocks(radius: int) -> Column:
@@ -79,6 +80,20 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.expr(f"array({', '.join(parts)})"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, text``; ``row`` tells apart the texts of one doc_id, or of none."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return docs.withColumn("row", _row(F.col("text")))
+
+
+def _row(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+
+
 def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
@@ -89,24 +104,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSpec(
     Needs ``doc_id, text`` and ``item_id, text``; other columns are ignored. ``start`` is the place
     of the window's first word, from 0. An item of fewer than ``spec.words`` words has its whole
     sequence as its one shingle; null and empty texts have none and take no part. Rows of docs
-    that share a doc_id, or have none, are one document; rows of benchmark that share an item_id
-    are items of their own in the search and one in the result. Of windows that tie, the first
-    is returned. Empty tables give no rows.
+    that share a doc_id, or have none, are searched each on its own and are one document in the
+    result; so are rows of benchmark that share an item_id. Equal rows count once. Of windows that
+    tie, the first is returned. Empty tables give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    pairs = _pairs(docs, benchmark, spec)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("b")
+    return pairs.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", (-F.col("b.s")).alias("start"), "b.n_words", F.col("b.similarity").alias("similarity")
+    )
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec) -> DataFrame:
+    """``doc_id, row, item_id, start, n_words, similarity``: all windows that hold an item."""
+    docs = _numbered(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words"))
-    items = write_table(items.filter("size(words) > 0").withColumn("item", F.xxhash64("item_id", "words")), "items")
+    items = items.filter("size(words) > 0").withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
+    items = write_table(items, "items")
     sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(spec.words))).distinct().collect()]
     found = [_find(docs, items, spec, size) for size in sorted(sizes)]
     if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, row long, item_id long, start int, n_words int, similarity double")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("b")
-    return pairs.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", (-F.col("b.s")).alias("start"), "b.n_words", F.col("b.similarity").alias("similarity")
-    )
+    return pairs
 
 
 def _find(docs: DataFrame, items: DataFrame, spec: LeakSpec, size: int) -> DataFrame:
@@ -118,51 +140,54 @@ def _find(docs: DataFrame, items: DataFrame, spec: LeakSpec, size: int) -> DataF
     lengths = _bounded(write_table(lengths, "shingles"))
 
     def cut(texts: DataFrame) -> DataFrame:
-        return texts.select("doc_id", _shingles(_words(F.col("text")), size).alias("hs"))
+        return texts.select("doc_id", "row", _shingles(_words(F.col("text")), size).alias("hs"))
 
-    places = cut(docs).select("doc_id", F.posexplode("hs").alias("place", "h")).join(lengths, "h")
-    places = write_table(places.groupBy("doc_id").agg(F.collect_list(F.struct("place", "ms")).alias("places")), "places")
-    ids = _bounded(places.select(F.col("doc_id").alias("_id")))
-    hit = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    hit = cut(hit).join(places.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    places = cut(docs).select("doc_id", "row", F.posexplode("hs").alias("place", "h")).join(lengths, "h")
+    places = places.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    places = write_table(places.agg(F.collect_set(F.struct("place", "ms")).alias("places")), "places")
+    ids = _bounded(places.select("_id", "_row"))
+    hit = cut(docs.join(ids, _same_row(), "left_semi")).join(places, _same_row())
     # what is not shared is less than this part of a window, so a shared shingle comes before it
     spare = f"CAST(floor(m * {100 - spec.percent} / 100) AS INT)"
     begins = (
         "array_distinct(flatten(flatten(transform(places, p -> transform(p.ms, m -> "
         f"transform(sequence(greatest(0, p.place - {spare}), p.place), s -> struct(m, s)))))))"
     )
-    windows = hit.select("doc_id", "hs", F.explode(F.expr(begins)).alias("w")).select("doc_id", "w.m", "w.s", "hs")
-    windows = windows.filter("s + m <= size(hs)").select("doc_id", "m", "s", F.expr("slice(hs, s + 1, m)").alias("hs"))
-    prints = _fingerprints(windows.select("doc_id", "s", "m", F.explode("hs").alias("h")), "doc_id", "s")
+    windows = hit.select("doc_id", "row", "hs", F.explode(F.expr(begins)).alias("w")).select("doc_id", "row", "w.m", "w.s", "hs")
+    windows = windows.filter("s + m <= size(hs)").select("doc_id", "row", "m", "s", F.expr("slice(hs, s + 1, m)").alias("hs"))
+    prints = _fingerprints(windows.select("doc_id", "row", "s", "m", F.explode("hs").alias("h")), "doc_id", "row", "s")
     prints = write_table(prints, "prints")
     own = write_table(_fingerprints(items.select("item", "m", F.explode("hs").alias("h")), "item"), "prints")
-    a = prints.withColumn("b", _blocks(spec.radius)).select("doc_id", "s", "m", "print", "b.block", "b.value")
+    a = prints.withColumn("b", _blocks(spec.radius)).select("doc_id", "row", "s", "m", "print", "b.block", "b.value")
     b = own.withColumn("b", _blocks(spec.radius)).select("item", "m", F.col("print").alias("own"), "b.block", "b.value")
     candidates = a.join(_bounded(write_table(b, "blocks")), ["m", "block", "value"]).filter(
         f"bit_count(print ^ own) <= {spec.radius}"
     )
-    candidates = write_table(candidates.select("doc_id", "s", "m", "item").distinct(), "candidates")
+    candidates = write_table(candidates.select("doc_id", "row", "s", "m", "item").distinct(), "candidates")
 
     # the exact similarity: only windows that are candidates are cut out again
-    wanted = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("s", "m", "item")).alias("ws"))
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    again = cut(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
-    again = again.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "hs", F.explode("ws").alias("w"))
-    again = again.filter("w.s + w.m <= size(hs)").select("doc_id", "w.*", F.xxhash64("hs").alias("row"), F.explode(F.expr("slice(hs, w.s + 1, w.m)")).alias("h"))
+    wanted = candidates.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    wanted = wanted.agg(F.collect_list(F.struct("s", "m", "item")).alias("ws"))
+    again = cut(docs.join(ids, _same_row(), "left_semi")).join(wanted, _same_row())
+    again = again.select("doc_id", "row", "hs", F.explode("ws").alias("w"))
+    again = again.select("doc_id", "row", "w.*", F.expr("slice(hs, w.s + 1, w.m)").alias("hs"))
+    again = again.dropDuplicates(["doc_id", "row", "s", "m", "item"]).withColumn("h", F.explode("hs"))
     counted = again.groupBy("doc_id", "row", "s", "m", "item", "h").agg(F.count("*").alias("n"))
-    known = items.dropDuplicates(["item"]).select("item", "item_id", F.explode("hs").alias("h"))
+    known = items.select("item", "item_id", F.explode("hs").alias("h"))
     known = known.groupBy("item", "item_id", "h").agg(F.count("*").alias("n_item"))
     shared = counted.join(known, ["item", "h"]).groupBy("doc_id", "row", "s", "m", "item_id", "item").agg(
         F.sum(F.least("n", "n_item")).alias("shared")
     )
     shared = shared.filter(f"100 * shared >= {spec.percent} * (2 * m - shared)")
     return shared.select(
-        "doc_id", "item_id", F.col("s").alias("start"), (F.col("m") + size - 1).alias("n_words"),
+        "doc_id", "row", "item_id", F.col("s").alias("start"), (F.col("m") + size - 1).alias("n_words"),
         (F.col("shared") / (2 * F.col("m") - F.col("shared"))).alias("similarity"),
     )
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSpec()) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    leaks = write_table(find_leaks(docs, benchmark, spec).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(_bounded(leaks), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item."""
+    leaks = _pairs(docs, benchmark, spec).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    leaks = _bounded(write_table(leaks.distinct(), "leaks"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_row(F.col("text")) == F.col("_row"))
+    return docs.join(leaks, same, "left_anti")

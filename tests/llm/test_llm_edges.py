@@ -152,6 +152,27 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.remove_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_of_repeated_rows(spark):
+    """Items and documents listed several times, and rows without doc_id that are told apart."""
+    item = " ".join(f"i{k}" for k in range(25))
+    again = " ".join(["one two three four five six seven"] * 4)  # its shingles occur several times
+    once = " ".join(f"s{k}" for k in range(30))
+    rows = [(1, item), (1, item), (1, item), (2, again), (2, again), (3, once)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    near = item.replace("i24", "other") + " at the end of it"
+    less = " ".join(["one two three four five six seven"] * 2 + [f"n{k}" for k in range(14)])
+    docs = _docs(spark, [
+        (1, f"a {item} b", "s"), (1, f"a {item} b", "s"), (2, near, "s"), (2, near, "s"), (2, near, "s"),
+        (None, f"c d {item}", "s"), (None, f"c d {item}", "s"), (None, "nothing of " + " ".join(f"o{k}" for k in range(40)), "s"),
+        (3, less, "s"), (3, less, "s"), (3, less, "s"), (4, again, "s"), (4, again, "s"),
+        (5, item, "s"), (6, once, "s"), (6, once, "s"),
+    ])
+    found = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert found == {(1, 1, 1, 1.0), (2, 1, 0, 20 / 22), (None, 1, 2, 1.0), (4, 2, 0, 1.0), (5, 1, 0, 1.0), (6, 3, 0, 1.0)}
+    left = decontaminate.remove_leaks(docs, bench).select("doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in left) == [(0, "nothing")] + [(3, "one two")] * 3
+
+
 def test_pii(spark, odd, nothing):
     docs = _docs(spark, [
         (1, "Mr. John Smith and Mrs Smith met Mr John Smith; mail A.b9@site.org, a.b9@SITE.org", "s"),
