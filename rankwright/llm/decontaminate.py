@@ -30,7 +30,7 @@ class LeakSpec:
 
     words: int = 5
     percent: int = 80
-    radius: int = 15  # differing bits
+    radius: int = 22  # differing bits
 
 
 def _words(text: Column) -> Column:

@@ -173,6 +173,15 @@ def test_decontamination_of_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text[:7]) for r in left) == [(0, "nothing")] + [(3, "one two")] * 3
 
 
+def test_decontamination_at_the_limit(spark):
+    """Windows that share 40 of 45 shingles, a similarity of 0.8, for which prints differ most."""
+    item = [f"i{k}" for k in range(49)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = _docs(spark, [(d, " ".join(item[:44] + [f"d{d}x{k}" for k in range(5)]), "s") for d in range(400)])
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert {r.doc_id for r in found} == set(range(400)) and {r.similarity for r in found} == {0.8}
+
+
 def test_pii(spark, odd, nothing):
     docs = _docs(spark, [
         (1, "Mr. John Smith and Mrs Smith met Mr John Smith; mail A.b9@site.org, a.b9@SITE.org", "s"),
