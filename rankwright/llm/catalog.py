@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankwright.llm import chat, decontaminate, mixing, near_dup, oracles, pii, secrets, substring, toxicity, vptree, warc
+from rankwright.llm import (
+    chat, decontaminate, mixing, near_dup, oracles, pii, resample, secrets, substring, toxicity, vptree, warc,
+)
 from rankwright.llm.tuning import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +98,12 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace_pii(table(spark, folder, "documents")).select("doc_id", "n_entities", "text")
 
 
+@query
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -125,3 +125,43 @@ FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id
 WINDOW best AS (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id)
 QUALIFY row_number() OVER best <= 5
 """
+
+#: Words of letters, digits and all that is not ASCII, lower-cased from A to Z.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+SQL["op13_resample"] = rf"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS c
+    FROM range(256) r(i))
+), d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_RUN}') AS ws FROM documents
+), dw AS (SELECT doc_id, unnest(ws) AS word FROM d
+), bw AS (SELECT unnest(regexp_extract_all({_LOWER}, '{_RUN}')) AS word FROM benchmark
+), bytes AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)
+), b AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295,
+      list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM bytes, crc
+), s AS (SELECT bucket, count(*) AS n FROM dw JOIN b USING (word) GROUP BY 1
+), t AS (SELECT bucket, count(*) AS n FROM bw JOIN b USING (word) GROUP BY 1
+), totals AS (
+  SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000 AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000 AS t
+), g AS (
+  SELECT r.bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * totals.s
+    / ((coalesce(s.n, 0)::DOUBLE + 1) * totals.t)))::BIGINT AS gain
+  FROM range(10000) r(bucket) CROSS JOIN totals LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), w AS (
+  SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY 1
+), c AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(
+    -1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (doc_id)
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS place,
+    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM c
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM p
+"""
