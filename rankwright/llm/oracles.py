@@ -1,5 +1,7 @@
 """DuckDB SQL for the results that SQL can express."""
 
+from rankwright.llm.licences import PHRASES, TEMPLATES, words_of
+
 SQL: dict[str, str] = {}
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -165,3 +167,46 @@ WITH crc AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM p
 """
+
+
+def _list(texts) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in texts) + "]::VARCHAR[]"
+
+
+_TEMPLATES = ",\n    ".join(
+    [f"({i}, '{label}', {_list(words_of(text))}, []::VARCHAR[][], true)" for i, (label, text) in enumerate(PHRASES)]
+    + [
+        f"({i}, '{label}', {_list(words_of(text))}, [{', '.join(_list(words_of(k)) for k in keys)}]::VARCHAR[][], false)"
+        for i, (label, text, keys) in enumerate(TEMPLATES, len(PHRASES))
+    ]
+)
+
+SQL["op12_licences"] = rf"""
+WITH t(id, label, ws, keys, phrase) AS (VALUES
+    {_TEMPLATES}
+), tw AS (SELECT id, unnest(ws) AS word, unnest(range(len(ws))) AS q FROM t
+), d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_RUN}') AS ws FROM documents
+), dw AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM d
+), hit AS (SELECT * FROM dw WHERE word IN (SELECT word FROM tw)
+), weight AS (
+  SELECT word, 1 + floor(1000 * ln(((SELECT count(*) FROM documents)::DOUBLE + 1) / (count(DISTINCT doc_id) + 1)))::BIGINT AS w
+  FROM (SELECT DISTINCT word FROM tw) LEFT JOIN hit USING (word) GROUP BY word
+), total AS (SELECT id, sum(w) AS total FROM tw JOIN weight USING (word) GROUP BY id
+), place AS (
+  SELECT doc_id, id, p - q AS place, sum(w) AS held FROM hit JOIN tw USING (word) JOIN weight USING (word) GROUP BY ALL
+), fit AS (
+  SELECT doc_id, id, label, phrase, place, held / total AS share
+  FROM place JOIN total USING (id) JOIN t USING (id) JOIN d USING (doc_id)
+  WHERE 100 * held >= CASE WHEN phrase THEN 100 ELSE 80 END * total
+    AND len(list_filter(keys, lambda k: len(list_filter(range(greatest(place, 0), least(place + len(t.ws), len(d.ws)) - len(k) + 1),
+      lambda i: d.ws[i + 1 : i + len(k)] = k)) = 0)) = 0
+), doc AS (
+  SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(place) FILTER (phrase) AS first_word,
+    max(place) FILTER (phrase) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share)::DOUBLE AS score
+  FROM fit GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN doc USING (doc_id)
+"""
