@@ -169,8 +169,10 @@ def draw(scored: DataFrame, spec: ResampleSpec = ResampleSpec()) -> DataFrame:
     """Add ``rank``: 1, 2, 3... for the drawn documents by score, ties to smaller ``doc_id``; else null.
 
     Rows are split by ranges of the order, numbered within each range and shifted by the rows of the
-    ranges before, so no task sees them all. Equal rows take neighbouring ranks.
+    ranges before, so no task sees them all. Equal rows take neighbouring ranks. The bounds of the
+    ranges are sampled first, so the scores are written once, not worked out twice.
     """
+    scored = write_table(scored, "scored")
     eligible = F.col("n_words") >= spec.least_words
     order = [F.col("_eligible").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     # the id counts rows within a partition: its high bits are the partition, its low ones the place
