@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankwright.llm import (
-    chat, decontaminate, licences, mixing, near_dup, oracles, pii, resample, secrets, substring, toxicity, vptree, warc,
+    chat, collocations, decontaminate, licences, mixing, near_dup, oracles, pii, resample, secrets, substring, toxicity, vptree, warc,
 )
 from rankwright.llm.tuning import tune
 
@@ -98,6 +98,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace_pii(table(spark, folder, "documents")).select("doc_id", "n_entities", "text")
 
 
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.find_collocations(table(spark, folder, "documents"))
+
+
 @query
 def op12_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.find_licences(table(spark, folder, "documents"))

@@ -210,3 +210,30 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN doc USING (doc_id)
 """
+
+SQL["op11_collocations"] = rf"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), f AS (
+  SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM p, range(1, 6) s(size) WHERE len(ws) >= size)
+  GROUP BY ALL
+), totals AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (SELECT * FROM f WHERE size > 1 AND a >= 100
+), kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (FROM c y WHERE y.lang = c.lang AND y.size > c.size AND 100 * y.a >= 100 * c.a
+    AND contains(' ' || y.phrase || ' ', ' ' || c.phrase || ' '))
+), cut AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1 : k], ' ') AS first, array_to_string(ws[k + 1 :], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM kept)
+), s AS (
+  SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, n, (1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest
+  JOIN totals ON totals.lang = cut.lang
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM s
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
