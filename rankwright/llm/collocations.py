@@ -5,16 +5,18 @@ by their leading words, so all occurrences of a phrase meet; a multikey three-wa
 pointers to them then splits by one word after the other, and the size of an equal part is the
 count of the phrase that its suffixes share. Parts below ``least`` are given up at once.
 
-A phrase is no more frequent than any pair of words in it. Pairs are counted in a table of fixed
-size by their hash first; a suffix ends before the first pair whose counter stays below ``least``,
-and those of one word are left out. Shared counters are too high, never too low, so no phrase is
-lost. Equal suffixes of a task are one row with a number. Leading words that begin very many rows
-are routed by more words; the counts of phrases shorter than the words routed by are then sums of
-those of several tasks.
+A phrase is no more frequent than any run of words in it. Runs are counted by their hash first,
+pairs in one pass and longer ones, of pairs that are frequent enough, in the next. A suffix ends
+where a run in it has a counter below ``least``, and those of one word are left out. Runs that
+share a counter make it too high, never too low, so no phrase is lost, whatever the number of
+counters. Equal suffixes of a task are one row with a number. Leading words found very often are
+followed by one more word in the routing, and by more if need be; the counts of phrases shorter
+than the words routed by are then sums of those of several tasks.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from rankwright.llm.runs import Runs, byte_set, split_runs, texts_of
 from rankwright.llm.words import mix, range_hashes, slices
-from rankwright.operators.skew import find_hot_groups, lookup_join, null_safe_join
+from rankwright.operators.skew import lookup_join
 from rankwright.session import write_table
 
 _BREAKS = byte_set(*map(ord, ".,;:!?"), range(0x0A, 0x0E))
 _SOLID = ~(_BREAKS | byte_set(0x20, 0x09))
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
-_HELD = 200_000  # rows that a task keeps before it adds up equal ones
+_HELD = 500_000  # rows that a task keeps before it adds up equal ones
+_PENDING = 4_000_000  # runs that a task keeps before it counts them
+_BLOCK = 1 << 16  # counters in a row of a packed table
 _ROUTE_ROWS = 50_000  # rows sorted at a time, about
 _SALTS = 16
 
@@ -41,15 +45,15 @@ _SALTS = 16
 class Collocations:
     """Phrases of 2 to ``longest`` words found ``least`` times or more, the ``top`` of each language.
 
-    A phrase is dropped if one that contains it has ``percent`` of its count. ``bits`` is the
-    logarithm of the number of pair counters.
+    A phrase is dropped if one that contains it has ``percent`` of its count. There are up to
+    ``2 ** bits`` counters of runs, one for 32 bytes of text; too few cost time, not phrases.
     """
 
     least: int = 100
     longest: int = 5
     percent: int = 100
     top: int = 2000
-    bits: int = 22
+    bits: int = 26
 
 
 def _languages(column: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -64,12 +68,20 @@ def _word_ids(words: Runs) -> np.ndarray:
     return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
-def _pair_buckets(words: Runs, lang: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counter of each word and the next, and whether both are of one piece."""
+def _run_codes(words: Runs, lang: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 2, 3... words: a hash for each first word, and whether the run is within a piece."""
     hashes = range_hashes(_CODES[words.data], words.starts, words.ends)
-    both = hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + mix(hashes[1:]) + lang[:-1]
-    together = words.piece[1:] == words.piece[:-1]
-    return (mix(both) >> np.uint64(64 - bits)).astype(np.int64), together
+    codes = hashes + lang
+    for size in range(2, longest + 1):
+        if words.count < size:
+            return
+        whole = words.piece[size - 1 :] == words.piece[: words.count - size + 1]
+        codes = mix(codes[: len(whole)] * np.uint64(0xD6E8FEB86659FD93) + hashes[size - 1 :])
+        yield codes, whole
+
+
+def _bit(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def _language_hashes(names: list[str]) -> np.ndarray:
@@ -77,15 +89,16 @@ def _language_hashes(names: list[str]) -> np.ndarray:
 
 
 class _Sums:
-    """Rows (lang, text, n), equal ones added up now and then."""
+    """Rows (lang, text, n, depth), equal texts added up now and then."""
 
     def __init__(self) -> None:
         self.tables: list[pa.Table] = []
         self.rows = 0
 
-    def add(self, lang: list[str], of: np.ndarray, texts: pa.Array, n: np.ndarray) -> Iterator[pa.Table]:
+    def add(self, lang: list[str], of: np.ndarray, texts: pa.Array, n: np.ndarray, depth: np.ndarray) -> Iterator[pa.Table]:
         names = pa.array(lang, pa.large_string()).take(pa.array(of))
-        self.tables.append(pa.table({"lang": names, "text": texts, "n": pa.array(n, pa.int64())}))
+        columns = {"lang": names, "text": texts, "n": pa.array(n, pa.int64()), "depth": pa.array(depth, pa.int32())}
+        self.tables.append(pa.table(columns))
         self.rows += len(n)
         if self.rows > _HELD:
             yield from self.flush(_HELD // 2)
@@ -93,23 +106,84 @@ class _Sums:
     def flush(self, keep: int = 0) -> Iterator[pa.Table]:
         if not self.tables:
             return
-        summed = pa.concat_tables(self.tables).group_by(["lang", "text"]).aggregate([("n", "sum")])
-        summed = summed.select(["lang", "text", "n_sum"]).rename_columns(["lang", "text", "n"])
-        self.tables, self.rows = [summed], summed.num_rows
+        added = pa.concat_tables(self.tables).group_by(["lang", "text"]).aggregate([("n", "sum"), ("depth", "max")])
+        added = added.select(["lang", "text", "n_sum", "depth_max"]).rename_columns(["lang", "text", "n", "depth"])
+        self.tables, self.rows = [added], added.num_rows
         if self.rows > keep:
             self.tables, self.rows = [], 0
-            yield summed
+            yield added
+
+
+class _Counts:
+    """Counters of runs, packed as (block, the low halves of their numbers and their counts)."""
+
+    def __init__(self, bits: int) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.pending: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, codes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        self.pending.append((codes >> self.shift).astype(np.uint32))
+        self.held += len(codes)
+        if self.held > _PENDING:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        if not self.held:
+            return
+        at, n = np.unique(np.concatenate(self.pending), return_counts=True)
+        self.pending, self.held = [], 0
+        low, n = (at % _BLOCK).astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)
+        begins = np.flatnonzero(np.diff(at // _BLOCK, prepend=-1))
+        for first, last in zip(begins, np.append(begins[1:], len(at))):
+            yield int(at[first] // _BLOCK), low[first:last].tobytes() + n[first:last].tobytes()
+
+
+def _add_up(least: int, often: int):
+    """Flags per block: counters of ``least`` or more, and of ``often`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist()):
+                low, n = np.frombuffer(packed, dtype=np.uint16).reshape(2, -1)
+                totals.setdefault(block, np.zeros(_BLOCK, dtype=np.uint32))[low] += n
+        for block, total in totals.items():
+            flags = [pa.array([np.packbits(total >= limit, bitorder="little").tobytes()]) for limit in (least, often)]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *flags], ["block", "least", "often"])
+
+    return run
+
+
+def _flags(packed: DataFrame, bits: int, least: int, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each counter, so 2 ** bits / 4 bytes come to the driver."""
+    # a counter's parts stop at 65535, so it is high enough if the whole is
+    schema = "block int, least binary, often binary"
+    rows = packed.select("block", "packed").repartition("block").mapInArrow(_add_up(least, often), schema)
+    size = max(1, (1 << bits) // _BLOCK)
+    flags = np.zeros((2, size, _BLOCK // 8), dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        for one, value in zip(flags, (r.least, r.often)):
+            one[r.block] = np.frombuffer(value, dtype=np.uint8)
+    return flags[0].ravel(), flags[1].ravel()
 
 
 def _words_and_pairs(bits: int):
-    schema = pa.schema([("lang", pa.large_string()), ("text", pa.large_string()), ("bucket", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema(
+        [("lang", pa.large_string()), ("text", pa.large_string()), ("n", pa.int64()), ("block", pa.int32()), ("packed", pa.binary())]
+    )
+
+    def of_words(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        empty = [pa.nulls(table.num_rows, schema.field(i).type) for i in (3, 4)]
+        columns = [*table.select(["lang", "text", "n"]).columns, *empty]
+        yield from pa.table(columns, schema=schema).to_batches(max_chunksize=20_000)
 
-    def batches_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        full = table.add_column(2, "bucket", pa.nulls(table.num_rows, pa.int64()))
-        yield from full.cast(schema).to_batches(max_chunksize=20_000)
+    def of_pairs(block: int, packed: bytes) -> pa.RecordBatch:
+        columns = [pa.nulls(1, schema.field(i).type) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([block], pa.int32()), pa.array([packed])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counters, pending, held = _Sums(), np.zeros(1 << bits, dtype=np.int64), [], 0
+        sums, counts = _Sums(), _Counts(bits)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split_runs(part.column("text"), _SOLID, _BREAKS)
@@ -119,31 +193,52 @@ def _words_and_pairs(bits: int):
                 lang = lang[words.rows()]
                 ids = _word_ids(words)
                 _, place, n = np.unique(lang * (ids.max() + 1) + ids, return_index=True, return_counts=True)
-                for table in sums.add(names, lang[place], texts_of(words.data, words.starts[place], words.ends[place]), n):
-                    yield from batches_of(table)
-                buckets, together = _pair_buckets(words, _language_hashes(names)[lang], bits)
-                pending.append(buckets[together])
-                held += len(pending[-1])
-                if held > 1 << bits:
-                    counters += np.bincount(np.concatenate(pending), minlength=1 << bits)
-                    pending, held = [], 0
+                texts = texts_of(words.data, words.starts[place], words.ends[place])
+                for table in sums.add(names, lang[place], texts, n, np.ones(len(n))):
+                    yield from of_words(table)
+                for codes, whole in _run_codes(words, _language_hashes(names)[lang], 2):
+                    for row in counts.add(codes[whole]):
+                        yield of_pairs(*row)
         for table in sums.flush():
-            yield from batches_of(table)
-        if held:
-            counters += np.bincount(np.concatenate(pending), minlength=1 << bits)
-        seen = np.flatnonzero(counters)
-        for block in np.array_split(seen, 1 + len(seen) // 100_000):
-            empty = pa.nulls(len(block), pa.large_string())
-            yield pa.RecordBatch.from_arrays([empty, empty, pa.array(block), pa.array(counters[block])], schema=schema)
+            yield from of_words(table)
+        for row in counts.flush():
+            yield of_pairs(*row)
 
     return run
 
 
-def _truncated_suffixes(flags: np.ndarray, spec: Collocations):
-    """``flags`` has a bit per pair counter: whether it reaches ``spec.least``."""
+def _longer_runs(pairs: np.ndarray, bits: int, longest: int):
+    """Packed counters of the runs of 3 words and more whose pairs all have a flag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        counts, shift = _Counts(bits), np.uint64(64 - bits)
+
+        def row_of(block: int, packed: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed])], ["block", "packed"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = split_runs(part.column("text"), _SOLID, _BREAKS)
+                lang, names = _languages(part.column("lang"))
+                goes_on = alive = np.zeros(0, dtype=bool)
+                for codes, whole in _run_codes(words, _language_hashes(names)[lang[words.rows()]], longest):
+                    if not len(goes_on):
+                        goes_on = alive = whole & _bit(pairs, (codes >> shift).astype(np.int64))
+                        continue
+                    alive = whole & alive[:-1] & goes_on[len(goes_on) - len(codes) :]
+                    for row in counts.add(codes[alive]):
+                        yield row_of(*row)
+        for row in counts.flush():
+            yield row_of(*row)
+
+    return run
+
+
+def _truncated_suffixes(pairs: tuple[np.ndarray, np.ndarray], runs: tuple[np.ndarray, np.ndarray], spec: Collocations, bits: int):
+    """Distinct suffixes of a task with their number, and how many leading words they are routed by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, shift = _Sums(), np.uint64(64 - bits)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split_runs(part.column("text"), _SOLID, _BREAKS)
@@ -151,26 +246,32 @@ def _truncated_suffixes(flags: np.ndarray, spec: Collocations):
                     continue
                 lang, names = _languages(part.column("lang"))
                 lang = lang[words.rows()]
-                buckets, together = _pair_buckets(words, _language_hashes(names)[lang], spec.bits)
-                goes_on = np.zeros(words.count + spec.longest, dtype=bool)
-                goes_on[: words.count - 1] = together & ((flags[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1 == 1)
-                ids = np.concatenate([_word_ids(words), np.zeros(spec.longest, dtype=np.int64)])
-                begins = np.flatnonzero(goes_on)
+                sizes = np.ones(words.count, dtype=np.int64)
+                depth = np.full(words.count, 2)
+                alive = hot = np.ones(words.count, dtype=bool)
+                for codes, whole in _run_codes(words, _language_hashes(names)[lang], spec.longest):
+                    least, often = runs if len(codes) < words.count - 1 else pairs
+                    at = (codes >> shift).astype(np.int64)
+                    # a run is as frequent as the shorter ones that it begins and ends with, at most
+                    alive = whole & alive[:-1] & alive[1:] & _bit(least, at)
+                    hot = alive & hot[:-1] & _bit(often, at)
+                    sizes[: len(alive)] += alive
+                    depth[: len(alive)] += hot
+                begins = np.flatnonzero(sizes > 1)
                 if not len(begins):
                     continue
+                ids = np.concatenate([_word_ids(words), np.zeros(spec.longest, dtype=np.int64)])
                 # the words of a suffix as digits of a number, made small again when it grows too large
                 base = int(ids.max()) + 1
-                code, sizes, alive = lang[begins] * base + ids[begins], np.ones(len(begins), dtype=np.int64), True
+                code, sizes = lang[begins] * base + ids[begins], sizes[begins]
                 for d in range(1, spec.longest):
                     if (int(code.max()) + 1) * base >= 1 << 62:
                         code = np.unique(code, return_inverse=True)[1]
-                    alive = alive & goes_on[begins + d - 1]
-                    code = code * base + np.where(alive, ids[begins + d], 0)
-                    sizes += alive
+                    code = code * base + np.where(sizes > d, ids[begins + d], 0)
                 _, place, n = np.unique(code, return_index=True, return_counts=True)
                 first = begins[place]
                 texts = texts_of(words.data, words.starts[first], words.ends[first + sizes[place] - 1])
-                for table in sums.add(names, lang[first], texts, n):
+                for table in sums.add(names, lang[first], texts, n, np.minimum(depth[first], spec.longest)):
                     yield from table.to_batches(max_chunksize=20_000)
         for table in sums.flush():
             yield from table.to_batches(max_chunksize=20_000)
@@ -178,37 +279,6 @@ def _truncated_suffixes(flags: np.ndarray, spec: Collocations):
     return run
 
 
-def _routed(suffixes: DataFrame, spec: Collocations) -> DataFrame:
-    """Add ``depth``, the number of leading words that a suffix is routed by, and ``route``.
-
-    Words that lead more than a small share of the rows are followed by one more word, up to whole
-    suffixes, of which a task has sent each once or a few times.
-    """
-    total = suffixes.count()
-    limit = min(4 * _ROUTE_ROWS, max(_ROUTE_ROWS // 10, total // 1000))
-
-    def lead(words: int) -> Column:
-        return F.xxhash64("lang", F.substring_index("text", " ", words))
-
-    rows = suffixes.withColumns({"lead": lead(2), "depth": F.lit(2)})
-    for depth in range(2, spec.longest):
-        hot = find_hot_groups(rows.filter(F.col("depth") == depth), ["lead"], limit)
-        if not hot:
-            break
-        # fewer than MAX_HOT_GROUPS hashes
-        marked = null_safe_join(rows, hot.table.select("lead", F.lit(True).alias("_hot")), ["lead"], "left")
-        deeper = F.col("_hot").isNotNull() & (F.col("depth") == depth)
-        rows = marked.withColumns(
-            {
-                "lead": F.when(deeper, lead(depth + 1)).otherwise(F.col("lead")),
-                "depth": F.when(deeper, depth + 1).otherwise(F.col("depth")),
-            }
-        ).drop("_hot")
-    partitions = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    routes = max(4 * partitions, total // _ROUTE_ROWS)
-    return rows.withColumn("route", F.pmod(F.col("lead"), F.lit(routes)))
-
-
 def equal_parts(columns: np.ndarray, weights: np.ndarray, depths: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """Multikey three-way quicksort: (a row, number of words, weight) of each part of equal leading words.
 
@@ -270,30 +340,36 @@ def _sort(spec: Collocations):
 def phrase_counts(docs: DataFrame, spec: Collocations = Collocations()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, phrase, size, a) of the phrases of 2 words and more, (lang, phrase, a) of the words found
     ``least`` times or more, and (lang, n) of all words."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     )
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, min(spec.bits, math.ceil(math.log2(size / 32 + 2))))
     seen = write_table(
-        texts.mapInArrow(_words_and_pairs(spec.bits), "lang string, text string, bucket long, n long"), "words"
+        texts.mapInArrow(_words_and_pairs(bits), "lang string, text string, n long, block int, packed binary"), "words"
     )
     words = write_table(
-        seen.filter("bucket IS NULL").groupBy("lang", F.col("text").alias("phrase")).agg(F.sum("n").alias("a")), "counted"
+        seen.filter("block IS NULL").groupBy("lang", F.col("text").alias("phrase")).agg(F.sum("n").alias("a")), "counted"
     )
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    often = seen.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= spec.least)
-    # a bit for each counter: 2 ** spec.bits / 32 rows at most
-    bit = F.expr("shiftleft(1L, CAST(bucket % 32 AS INT))")
-    flags = np.zeros(max(1, (1 << spec.bits) // 32), dtype=np.uint32)
-    for r in often.groupBy(F.floor(F.col("bucket") / 32).alias("at")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
-        flags[r.at] = r.bits
-    shared = spark.sparkContext.broadcast(flags.view(np.uint8))
+    everything = totals.agg(F.sum("n")).first()[0] or 0
+    often = min(65_535, max(_ROUTE_ROWS // 10, everything // 2000))
+    pairs = context.broadcast(_flags(seen.filter("block IS NOT NULL"), bits, spec.least, often))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _truncated_suffixes(shared.value, spec)(batches)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _longer_runs(pairs.value[0], bits, spec.longest)(batches)
+
+    runs = context.broadcast(_flags(texts.mapInArrow(count, "block int, packed binary"), bits, spec.least, often))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _truncated_suffixes(pairs.value, runs.value, spec, bits)(batches)
 
-    suffixes = write_table(texts.mapInArrow(run, "lang string, text string, n long"), "suffixes")
-    routed = _routed(suffixes, spec).select("lang", "text", "n", "depth", "route")
+    # no more routes than words, and rows of a pair that isn't spread come with it
+    routes = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), everything // _ROUTE_ROWS)
+    lead = F.xxhash64("lang", F.expr("substring_index(text, ' ', depth)"))
+    suffixes = texts.mapInArrow(cut, "lang string, text string, n long, depth int")
+    routed = suffixes.withColumn("route", F.pmod(lead, F.lit(routes)))
     parts = routed.groupBy("route").applyInArrow(_sort(spec), "lang string, phrase string, size int, a long")
     counts = parts.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).filter(F.col("a") >= spec.least)
     return write_table(counts, "phrases"), words.filter(F.col("a") >= spec.least), totals

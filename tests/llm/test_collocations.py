@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankwright.llm import collocations
@@ -81,18 +82,29 @@ def test_against_plain_version(spark, bits):
 def test_hot_leading_words_are_routed_deeper(spark, monkeypatch):
     rows = _rows(2, 300, 0.6)
     spec = Collocations(least=8, percent=60, top=40, longest=4)
-    depths = []
-    routed = collocations._routed
+    depths = set()
+    added = collocations._Sums.add
 
-    def watched(*args):
-        out = routed(*args)
-        depths.append({r.depth for r in out.select("depth").distinct().collect()})
-        return out
+    def watched(self, lang, of, texts, n, depth):
+        depths.update(depth.tolist())
+        return added(self, lang, of, texts, n, depth)
 
     monkeypatch.setattr(collocations, "_ROUTE_ROWS", 100)
-    monkeypatch.setattr(collocations, "_routed", watched)
-    assert _found(_table(spark, rows).repartition(4), spec) == _expected(rows, spec)
-    assert {2, 3, 4} <= depths[0]
+    monkeypatch.setattr(collocations._Sums, "add", watched)
+    docs = _table(spark, rows)
+    assert _found(docs.repartition(4), spec) == _expected(rows, spec)
+    # the same in this process, to see what rows are routed by
+    lang, text = (pa.array([r[i] or "und" if i == 0 else r[i] for r in rows]) for i in range(2))
+    batch = pa.RecordBatch.from_arrays([lang, text], ["lang", "text"])
+    flags = []
+    packed = [b for b in collocations._words_and_pairs(16)([batch])]
+    chosen = [pa.RecordBatch.from_arrays([b.column("block"), b.column("packed")], ["block", "packed"]) for b in packed if b.column("packed").null_count == 0]
+    for source in (chosen, None):
+        source = source or list(collocations._longer_runs(flags[0][0], 16, 4)([batch]))
+        result = list(collocations._add_up(8, 10)(source))
+        flags.append(tuple(np.frombuffer(result[0].column(i)[0].as_py(), dtype=np.uint8) for i in (1, 2)))
+    list(collocations._truncated_suffixes(*flags, spec, 16)([batch]))
+    assert {2, 3, 4} <= depths
 
 
 def test_odd_rows(spark, monkeypatch):
@@ -101,6 +113,8 @@ def test_odd_rows(spark, monkeypatch):
             ("de", "a " * 30_000), ("de", "b" * 200_000 + " b"), ("", "x y. x  y"), ("en", "one"), ("en", "x.y")]
     spec = Collocations(least=2)
     assert _found(_table(spark, rows).coalesce(1), spec) == _expected(rows, spec)
+    few = [("en", "x y z")]
+    assert _found(_table(spark, few), Collocations(least=1)) == _expected(few, Collocations(least=1))
     assert collocations.find_collocations(_table(spark, [])).count() == 0
 
 
