@@ -213,7 +213,14 @@ def hitrate_by_size_bin(
     )
 
 
-def ndcg_at_k(
+def ideal_dcg(chosen: Column, k: int) -> Column:
+    """DCG@k of ``chosen`` 0/1 gains in the best order."""
+    discounts = F.array(*[1 / F.log2(F.lit(place + 1.0)) for place in range(1, k + 1)])
+    best_places = F.slice(discounts, 1, F.least(chosen, F.lit(k)).cast("int"))
+    return F.aggregate(best_places, F.lit(0.0), lambda total, d: total + d)
+
+
+def session_ndcg(
     df: DataFrame,
     k: int = 3,
     score: str = "pred_score",
@@ -221,18 +228,30 @@ def ndcg_at_k(
     group: str = "ranker_id",
     row_id: str = "Id",
     hot: HotGroups | None = None,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Mean NDCG@k for 0/1 labels over all sessions; one without a chosen offer counts as 1."""
-    ranked = rank_in_group(
-        df.select(group, row_id, score, label), score, group, row_id, "_rank", hot
-    )
+    """NDCG@k of each session for 0/1 labels, 1 without a chosen offer; ``also`` are more aggregates."""
+    ranked = rank_in_group(df, score, group, row_id, "_rank", hot)
     gain = F.when((F.col("_rank") <= k) & (F.col(label) > 0), 1 / F.log2(F.col("_rank") + 1.0))
     per_session = ranked.groupBy(group).agg(
         F.coalesce(F.sum(gain), F.lit(0.0)).alias("_dcg"),
         F.count_if(F.col(label) > 0).alias("_chosen"),
+        *[value.alias(name) for name, value in (also or {}).items()],
     )
-    discounts = F.array(*[1 / F.log2(F.lit(place + 1.0)) for place in range(1, k + 1)])
-    best_places = F.slice(discounts, 1, F.least(F.col("_chosen"), F.lit(k)).cast("int"))
-    ideal = F.aggregate(best_places, F.lit(0.0), lambda total, d: total + d)
+    ideal = ideal_dcg(F.col("_chosen"), k)
     ndcg = F.when(F.col("_chosen") == 0, 1.0).otherwise(F.try_divide(F.col("_dcg"), ideal))
-    return per_session.agg(F.avg(ndcg).alias("ndcg"))
+    return per_session.select(group, ndcg.alias("ndcg"), *(also or {}))
+
+
+def ndcg_at_k(
+    df: DataFrame,
+    k: int = 3,
+    score: str = "pred_score",
+    label: str = "selected",
+    group: str = "ranker_id",
+    row_id: str = "Id",
+    hot: HotGroups | None = None,
+) -> DataFrame:
+    """Mean NDCG@k for 0/1 labels over all sessions; one without a chosen offer counts as 1."""
+    rows = df.select(group, row_id, score, label)
+    return session_ndcg(rows, k, score, label, group, row_id, hot).agg(F.avg("ndcg").alias("ndcg"))

@@ -13,7 +13,6 @@ from rankwright.operators.skew import HotGroups, running_total
 # Spark prunes a row_number() <= k filter inside each map task, so a session sends at most k rows
 # per task to the shuffle. Beyond this k that is no longer small, and the full ranking is used.
 PRUNED_K = 100
-PAGE_ROWS = 10_000
 
 
 def score_order(score: str = "pred_score", row_id: str = "Id") -> list[Column]:
@@ -69,18 +68,24 @@ def rank_requests(
     session: str = "ranker_id",
     row_id: str = "Id",
     hot: HotGroups | None = None,
-    page_rows: int | None = PAGE_ROWS,
+    page_rows: int | None = None,
     carry: Sequence[str] = (),
+    first: int | None = None,
 ) -> DataFrame:
     """One response per request: its offers as ``{Id, score}``, best first.
 
-    A request beyond ``page_rows`` offers goes on over further rows, numbered by ``page``, so no
-    array grows without bound and no offer is left out. Requests that are known to fit a row have
-    no pages if ``page_rows`` is None. ``carry`` are more columns of the request.
+    A request is one row, whatever its length. With ``page_rows`` one beyond that goes on over
+    further rows, numbered by ``page``, for requests that no row should hold; no offer is left out.
+    ``carry`` are more columns of the request.
+
+    With ``first`` only so many offers of a request are kept. Those beyond it are dropped in the
+    tasks that read them, so neither the shuffle nor an array holds more.
     """
-    ranked = rank_in_group(
-        df.select(request, *carry, session, row_id, score), score, request, row_id, "_rank", hot
-    )
+    rows = df.select(request, *carry, session, row_id, score)
+    if first is None:
+        ranked = rank_in_group(rows, score, request, row_id, "_rank", hot)
+    else:
+        ranked = top_k_per_group(rows, first, score, request, row_id, hot).withColumnRenamed("rank", "_rank")
     entry = F.struct(
         F.col("_rank"), F.col(row_id).alias("Id"), F.col(score).cast("double").alias("score")
     )

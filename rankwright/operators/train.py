@@ -64,6 +64,16 @@ def _id_hash(row_id: str) -> Column:
     return F.conv(F.substring(F.md5(row_id), 1, 8), 16, 10).cast("long")
 
 
+def _slots(row_id: str, meetings: int | None) -> Column:
+    """The places, among the chosen offers of a session, of those that an offer meets."""
+    first = F.pmod(_id_hash(row_id), F.col("_chosen"))
+    if meetings == 1:
+        return first
+    met = F.col("_chosen") if meetings is None else F.least(F.lit(meetings), F.col("_chosen"))
+    steps = F.sequence(F.lit(0).cast("long"), met.cast("long") - 1)
+    return F.explode(F.transform(steps, lambda step: F.pmod(first + step, F.col("_chosen"))))
+
+
 def make_pairs(
     df: DataFrame,
     features: Sequence[str] = (),
@@ -71,13 +81,15 @@ def make_pairs(
     group: str = "ranker_id",
     row_id: str = "Id",
     hot: HotGroups | None = None,
+    meetings: int | None = 1,
 ) -> DataFrame:
     """Each offer not chosen, next to a chosen offer of its session.
 
     With one chosen offer per session, as in search logs, these are all the pairs. With several,
-    each other offer meets the one its id's hash points to, so the pairs never outnumber the
-    offers. ``features`` come along twice, prefixed ``best_`` and ``other_``. Offers without a
-    session id were not shown together, and make no pairs.
+    each other offer meets ``meetings`` of them, from the one its id's hash points to on, so there
+    are at most ``meetings`` pairs for an offer; None means all of them, whose number grows with the
+    product of chosen and other offers. ``features`` come along twice, prefixed ``best_`` and
+    ``other_``. Offers without a session id were not shown together, and make no pairs.
     """
     hot = find_hot_groups(df, [group]) if hot is None else hot
     rows = df.select(group, row_id, label, *features).filter(F.col(group).isNotNull())
@@ -85,7 +97,7 @@ def make_pairs(
     counted = with_group_stats(rows, [group], chosen_rows, hot, (row_id,))
     others = counted.filter((F.col(label) <= 0) & (F.col("_chosen") > 0)).select(
         group,
-        F.pmod(_id_hash(row_id), F.col("_chosen")).alias("_slot"),
+        _slots(row_id, meetings).alias("_slot"),
         F.col(row_id).alias("other_id"),
         *[F.col(c).alias(f"other_{c}") for c in features],
     )
@@ -126,42 +138,74 @@ class LinearRanker:
         return LinearRanker({r.feature: r.weight for r in rows})
 
 
-def train_ranker(
-    df: DataFrame,
-    features: Sequence[str] = RANKER_FEATURES,
-    label: str = "selected",
-    group: str = "ranker_id",
-    row_id: str = "Id",
-    hot: HotGroups | None = None,
+def feature_spreads(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Standard deviations, without the features that have none to speak of."""
+    seen = df.agg(*[F.stddev_samp(c).alias(c) for c in features]).first()
+    return {c: float(seen[c]) for c in features if seen[c]}
+
+
+def fit_pairs(
+    pairs: DataFrame,
+    spreads: dict[str, float],
     regularisation: float = 1e-4,
     iterations: int = 50,
+    weight: Column | None = None,
+    mixing: float = 0.0,
 ) -> LinearRanker:
-    """Logistic regression on the feature differences of (chosen, not chosen) pairs.
+    """Logistic regression on the scaled feature differences of (chosen, not chosen) pairs.
 
     Half of the pairs, picked by id hash, are turned round and labelled 0. For a model without
     intercept a pair and its mirror image cost the same, so this equals training on both.
+    ``weight`` is what a pair counts (1 without). ``mixing`` is the share of the L1 penalty in
+    ``regularisation``; the rest is L2.
     """
-    spreads = df.agg(*[F.stddev_samp(c).alias(c) for c in features]).first()
-    used = [c for c in features if spreads[c]]
-    pairs = make_pairs(df, used, label, group, row_id, hot)
     turned = F.pmod(_id_hash("other_id"), F.lit(2)) == 0
     sign = F.when(turned, -1.0).otherwise(1.0)
     differences = pairs.select(
         F.when(turned, 0.0).otherwise(1.0).alias("label"),
+        (F.lit(1.0) if weight is None else weight).alias("_weight"),
         *[
             (
                 sign
                 * (F.coalesce(f"best_{c}", F.lit(0)) - F.coalesce(f"other_{c}", F.lit(0)))
-                / F.lit(float(spreads[c]))
+                / F.lit(spread)
             ).alias(c)
-            for c in used
+            for c, spread in spreads.items()
         ],
     )
-    assembled = VectorAssembler(inputCols=used, outputCol="features").transform(differences)
+    if weight is not None:
+        differences = differences.filter(F.col("_weight") > 0)
+    assembled = VectorAssembler(inputCols=list(spreads), outputCol="features").transform(differences)
     model = LogisticRegression(
-        fitIntercept=False, standardization=False, regParam=regularisation, maxIter=iterations
-    ).fit(assembled.select("label", "features"))
-    return LinearRanker({c: float(w) / spreads[c] for c, w in zip(used, model.coefficients)})
+        fitIntercept=False,
+        standardization=False,
+        regParam=regularisation,
+        elasticNetParam=mixing,
+        maxIter=iterations,
+        weightCol="_weight",
+    ).fit(assembled.select("label", "_weight", "features"))
+    return LinearRanker({c: float(w) / spreads[c] for c, w in zip(spreads, model.coefficients)})
+
+
+def train_ranker(
+    df: DataFrame,
+    features: Sequence[str] = RANKER_FEATURES,
+    label: str = "selected",
+    group: str = "ranker_id",
+    row_id: str = "Id",
+    hot: HotGroups | None = None,
+    regularisation: float = 1e-4,
+    iterations: int = 50,
+    meetings: int | None = 1,
+    mixing: float = 0.0,
+) -> LinearRanker:
+    """A pairwise model: ``fit_pairs`` on ``make_pairs``, every pair weighing the same.
+
+    ``gain.train_by_gain`` goes on from here and weighs pairs by the NDCG they would change.
+    """
+    spreads = feature_spreads(df, features)
+    pairs = make_pairs(df, list(spreads), label, group, row_id, hot, meetings)
+    return fit_pairs(pairs, spreads, regularisation, iterations, mixing=mixing)
 
 
 def train_pointwise(
@@ -175,10 +219,17 @@ def train_pointwise(
     row_share: float = 0.88,
     feature_share: float = 0.46,
     seed: int = 42,
+    validation: str | None = None,
+    tolerance: float = 0.01,
 ) -> PipelineModel:
     """Boosted trees on the 0/1 label alone; save and load it as any Spark ML model.
 
-    Each tree sees ``row_share`` of the rows and each split ``feature_share`` of the features.
+    Each tree sees ``row_share`` of the rows and each split ``feature_share`` of the features; these
+    two and ``seed`` are settings of the reference trainer, fixed values.
+
+    Rows for which the column ``validation`` is true are not learned from: boosting stops at the
+    round after which their error no longer falls by ``tolerance``, and keeps the best round.
+    ``quality.boosting_rounds`` shows the quality round by round.
     """
     assembler = VectorAssembler(
         inputCols=list(features), outputCol="features", handleInvalid="keep"
@@ -194,8 +245,13 @@ def train_pointwise(
         featureSubsetStrategy=str(feature_share),
         seed=seed,
     )
-    prepared = assembler.transform(df.select(F.col(label).cast("double").alias(label), *features))
-    return PipelineModel(stages=[assembler, trees.fit(prepared.select(label, "features"))])
+    kept = [label, "features"]
+    if validation is not None:
+        trees = trees.setValidationIndicatorCol(validation).setParams(validationTol=tolerance)
+        kept.append(validation)
+    held = [] if validation is None else [F.col(validation).cast("boolean").alias(validation)]
+    prepared = assembler.transform(df.select(F.col(label).cast("double").alias(label), *held, *features))
+    return PipelineModel(stages=[assembler, trees.fit(prepared.select(*kept))])
 
 
 def score(df: DataFrame, model: LinearRanker | PipelineModel, out: str = "score") -> DataFrame:

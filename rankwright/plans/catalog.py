@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rankwright.functions import columns as C
 from rankwright.operators import columns as cols
-from rankwright.operators import encode, evaluate, groups, lookups, ranking, rows, split, train
+from rankwright.operators import encode, evaluate, gain, groups, lookups, quality, ranking, rows, split, train
 from rankwright.plans import oracles as O
 from rankwright.plans.features import (
     Artifacts,
@@ -202,16 +202,8 @@ def _session_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flatten(responses: DataFrame) -> DataFrame:
-    if "page" not in responses.columns:
-        responses = responses.withColumn("page", F.lit(0))
-    return responses.select(
-        "request_id", "ranker_id", "page", F.posexplode("ranked_flights")
-    ).select(
-        "request_id",
-        "ranker_id",
-        (F.col("page") * ranking.PAGE_ROWS + F.col("pos") + 1).alias("position"),
-        "col.Id",
-        "col.score",
+    return responses.select("request_id", "ranker_id", F.posexplode("ranked_flights")).select(
+        "request_id", "ranker_id", (F.col("pos") + 1).alias("position"), "col.Id", "col.score"
     )
 
 
@@ -233,7 +225,7 @@ def _(spark, folder):
     path = scratch_path(spark, "ranked")
     writers.write_ranked(_ranked_responses(spark, folder), path)
     schema = (
-        "request_id string, ranker_id long, page int,"
+        "request_id string, ranker_id long,"
         " ranked_flights array<struct<Id: string, score: double>>"
     )
     return _flatten(spark.read.schema(schema).json(path))
@@ -754,6 +746,13 @@ def _(spark, folder):
     return _flatten(_ranked_responses(spark, folder))
 
 
+@query("rank_requests_first", _FLAT_RANKED + " WHERE rank <= 5", O.RANKED)
+def _(spark, folder):
+    """The first five offers of each request."""
+    hot = tables.session_profile(spark, folder)
+    return _flatten(ranking.rank_requests(_session_requests(spark, folder), hot=hot, first=5))
+
+
 FIXED_SCORE_FEATURES = {
     "is_cheapest": 5.0,
     "price_pct_rank": -3.0,
@@ -949,6 +948,22 @@ def _(spark, folder):
     return train.score(features, model).select("Id", "ranker_id", "part", "score")
 
 
+@query("train_by_gain")
+def _(spark, folder):
+    """Quality of the model of equal weights (round 0) and of the rounds weighed by gain."""
+    learned = _labelled_features(spark, folder).filter(F.col("part") == "train")
+    _, history = gain.train_by_gain(learned, hot=tables.session_profile(spark, folder))
+    return gain.round_table(learned, history)
+
+
+@query("boosting_rounds")
+def _(spark, folder):
+    """Boosting that stops by the sessions of the validation part, with the quality of each round."""
+    features = _labelled_features(spark, folder)
+    marked = features.withColumn("held", F.col("part") == "valid")
+    return quality.boosting_rounds(features, train.train_pointwise(marked, validation="held"))
+
+
 @query("feature_importance")
 def _(spark, folder):
     features = _labelled_features(spark, folder)

@@ -311,10 +311,7 @@ def codes(source: str) -> str:
 
 
 REQUESTS = """flights AS (
-  SELECT * EXCLUDE (ranker_id),
-    ranker_id::VARCHAR || '-' || ((row_number() OVER (PARTITION BY ranker_id ORDER BY Id) - 1)
-      // 1000)::VARCHAR AS request_id,
-    ranker_id % 1000 AS ranker_id
+  SELECT * EXCLUDE (ranker_id), split_part(Id, '-', 1) AS request_id, ranker_id % 1000 AS ranker_id
   FROM offers
 )"""
 

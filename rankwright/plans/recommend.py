@@ -70,7 +70,5 @@ def recommend(
     A request comes as one row, and so does its response, whatever its length.
     """
     scored = _scored(requests, artifacts, model, features)
-    ranked = rank_requests(
-        scored, request=_ROW, hot=no_hot_groups([_ROW]), page_rows=None, carry=["request_id"]
-    )
+    ranked = rank_requests(scored, request=_ROW, hot=no_hot_groups([_ROW]), carry=["request_id"])
     return ranked.drop(_ROW)

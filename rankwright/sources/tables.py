@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from rankwright.operators.skew import (
     HotGroups,
     find_hot_groups,
-    running_total,
     with_group_stats,
 )
 from rankwright.schema import FLIGHT_SCHEMA, segment_column
@@ -153,25 +152,16 @@ def offers(spark: SparkSession, folder: str, labelled: bool = True) -> DataFrame
     )
 
 
-REQUEST_ROWS = 1000
-
-
 def requests(spark: SparkSession, folder: str) -> DataFrame:
-    """The offers packed into ranking requests of at most ``REQUEST_ROWS`` flights.
+    """The offers packed into ranking requests: one request per order, with all its line items.
 
-    A session above that goes on in further requests, so no array grows with a session. The
-    session ids sent along repeat between requests, as ids drawn at random would.
+    An order is what was asked for at once, so nothing is cut, and a request has as many flights as
+    its order has lines. The session ids sent along repeat between requests, as ids drawn at random
+    would.
     """
     rows = offers(spark, folder, labelled=False)
-    numbered = running_total(
-        rows, ["ranker_id"], [F.col("Id")], "_before", hot=session_profile(spark, folder)
-    )
-    part = F.floor(F.col("_before") / REQUEST_ROWS).cast("string")
     flight_columns = [f.name for f in FLIGHT_SCHEMA.fields if f.name in rows.columns]
-    return (
-        numbered.groupBy(
-            F.concat_ws("-", F.col("ranker_id").cast("string"), part).alias("request_id"),
-            (F.col("ranker_id") % 1000).alias("ranker_id"),
-        )
-        .agg(F.collect_list(F.struct(*flight_columns)).alias("flights"))
+    order = F.substring_index("Id", "-", 1).alias("request_id")
+    return rows.groupBy(order, (F.col("ranker_id") % 1000).alias("ranker_id")).agg(
+        F.collect_list(F.struct(*flight_columns)).alias("flights")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankwright.operators import encode, evaluate, train
 from rankwright.operators.skew import no_hot_groups
+from rankwright.operators.ranking import rank_requests
 from rankwright.plans.catalog import _labelled_features, fixed_score, tidy
 from rankwright.plans.features import build_features, fit_artifacts, load_artifacts, load_fitted_files, save_artifacts
 from rankwright.plans.recommend import recommend
@@ -150,7 +151,8 @@ def test_scoring_features_agree_with_training_features(spark, folder, artifacts)
     names = ["Id", *train.RANKER_FEATURES]
     offers = tables.offers(spark, folder)
     # The standard deviation's last digits depend on the order of the rows.
-    trained = tidy(build_features(offers, artifacts), *names, digits=9)
+    asked = offers.withColumn("request_id", F.substring_index("Id", "-", 1))
+    trained = tidy(build_features(asked, artifacts, "request_id"), *names, digits=9)
     one_each = tables.requests(spark, folder)
     served = build_features(
         request_offers(one_each), artifacts, "request_id", hot=no_hot_groups(["request_id"])
@@ -186,3 +188,25 @@ def test_trees_learn_and_reload(spark, features, artifacts, folder, tmp_path):
     again = PipelineModel.load(str(tmp_path / "trees"))
     ranked = recommend(tables.requests(spark, folder), artifacts, again)
     assert ranked.select(F.sum(F.size("ranked_flights"))).first()[0] == features.count()
+
+
+def test_a_long_request_is_answered_as_one(spark, artifacts, tmp_path):
+    """Thousands of offers are compared with one another and come back in one row."""
+    flights = [{"Id": f"f{i:05d}", "totalPrice": 100.0 + (i * 7919) % 4000} for i in range(4000)]
+    requests = read_requests(spark, write_lines(tmp_path / "in", {"ranker_id": 5, "flights": flights}))
+    answers = recommend(requests, artifacts, -F.col("price_rank") - F.col("group_size") * 1e-6).collect()
+    assert len(answers) == 1
+    expected = [f["Id"] for f in sorted(flights, key=lambda f: f["totalPrice"])]
+    assert [e.Id for e in answers[0].ranked_flights] == expected
+    assert answers[0].ranked_flights[0].score == pytest.approx(-1 - 4000e-6)
+
+
+def test_first_offers_of_a_request(spark):
+    rows = [(str(r), r, f"{i:03d}", float(i * 37 % 50) if i % 9 else None) for r in range(3) for i in range(r * 60)]
+    df = spark.createDataFrame(rows, "request_id string, ranker_id long, Id string, score double")
+    whole = {r.request_id: r.ranked_flights for r in rank_requests(df, hot=no_hot_groups(["request_id"])).collect()}
+    for first in (1, 7, 1000):
+        cut = rank_requests(df, hot=no_hot_groups(["request_id"]), first=first)
+        assert {r.request_id: r.ranked_flights for r in cut.collect()} == {k: v[:first] for k, v in whole.items()}
+    pruned = rank_requests(df, hot=no_hot_groups(["request_id"]), first=7)
+    assert "WindowGroupLimit" in pruned._jdf.queryExecution().executedPlan().toString()
