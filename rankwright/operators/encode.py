@@ -71,6 +71,25 @@ def fit_codes(
     return codes_from_stats(stats, rows_per_task)
 
 
+def extend_codes(codes: DataFrame, stats: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``codes`` and, for the values of ``stats`` that it lacks, the next codes of their features.
+
+    Known values keep their codes, whatever became of them since; a model fitted on them stays
+    valid. New ones follow the largest code of the feature, in the order of ``codes_from_stats``,
+    from 0 if the feature is new. Extending by the same values again changes nothing.
+    """
+    known = codes.select("feature", "value", F.col("code").cast("int").alias("code"))
+    values = stats.filter(F.col("value").isNotNull()).select("feature", "value", "whole", "real")
+    new = write_table(values.join(known, ["feature", "value"], "left_anti"), "new_values")
+    ordered = [F.col("whole"), F.col("real"), F.col("value")]
+    placed = running_total(new, ["feature"], ordered, "_before", rows_per_task=rows_per_task)
+    # one row per feature
+    taken = known.groupBy("feature").agg((F.max("code") + 1).alias("_taken"))
+    code = (F.coalesce("_taken", F.lit(0)) + F.col("_before")).cast("int").alias("code")
+    added = placed.join(F.broadcast(taken), "feature", "left").select("feature", "value", code)
+    return known.unionByName(added)
+
+
 def fill_values(stats: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """The value table as it would be had the nulls been filled by type before counting."""
     is_number = F.col("feature").isin(list(numeric))

@@ -14,11 +14,15 @@ from rankwright.operators import encode, evaluate, gain, groups, lookups, qualit
 from rankwright.plans import oracles as O
 from rankwright.plans.features import (
     Artifacts,
+    artifacts_from_counts,
     build_features,
     encode_features,
     fit_artifacts,
+    fit_counts,
     load_artifacts,
+    load_counts,
     save_artifacts,
+    save_counts,
 )
 from rankwright.plans.recommend import recommend, score_requests
 from rankwright.schema import CARRIER_COLUMNS, CATEGORIES, OFFER_SCHEMA, REQUEST_SCHEMA, STRAY_INDEX
@@ -180,6 +184,26 @@ def _(spark, folder):
     return load_artifacts(spark, path).codes
 
 
+def _from_days(spark: SparkSession, folder: str) -> Artifacts:
+    """Lookups of the training part from the saved counts of three parts of it, one counted again."""
+    path, learned = scratch_path(spark, "days"), write_table(_training_part(spark, folder), "learned")
+    part = F.dayofmonth("requestDate") % 3
+    save_counts(fit_counts(learned.filter(part == 0)), path, "again")
+    for day in range(3):
+        save_counts(fit_counts(learned.filter(part == day)), path, "again" if day == 2 else str(day))
+    return artifacts_from_counts(load_counts(spark, path))
+
+
+@query("merge_counts", _LOOKUP_SQL, O.SPLIT, O.lookups("trainset"))
+def _(spark, folder):
+    return _lookup_rows(_from_days(spark, folder))
+
+
+@query("merge_counts_codes", "SELECT feature, value, code FROM codes", O.SPLIT, O.codes("trainset"))
+def _(spark, folder):
+    return _from_days(spark, folder).codes
+
+
 @query(
     "write_submission",
     "SELECT Id, ranker_id, rank AS selected FROM ranked",
@@ -823,6 +847,27 @@ def _(spark, folder):
     return _flatten(spark.read.schema(schema).json(out))
 
 
+@query("recommend_stream_once", _RECOMMEND_SQL, *_RECOMMEND_TABLES)
+def _(spark, folder):
+    """A third of the requests is sent again after the first answers, and the stream started again."""
+    out, progress = scratch_path(spark, "responses"), scratch_path(spark, "progress")
+    path, artifacts = _request_file(spark, folder), _artifacts(spark, folder)
+    for again in (False, True):
+        if again:
+            repeated = tables.requests(spark, folder).filter(F.col("ranker_id") % 3 == 0)
+            repeated.write.mode("append").json(path)
+        stream = read_request_stream(spark, path)
+        features = list(FIXED_SCORE_FEATURES)
+        recommend_stream(
+            stream, artifacts, fixed_score(), out, progress, features, once_within="1 day"
+        ).awaitTermination()
+    schema = (
+        "request_id string, ranker_id long,"
+        " ranked_flights array<struct<Id: string, score: double>>, batch long"
+    )
+    return _flatten(spark.read.schema(schema).json(out))
+
+
 @query(
     "present_ranked",
     """SELECT ranker_id, Id, rank AS position, (rank = 1)::INT AS is_best_choice,
@@ -849,6 +894,31 @@ def _(spark, folder):
     return encode.fit_codes(cols.fill_by_type(view.select(*CATEGORIES)))
 
 
+_FIRST_DAYS = "1992-03-01"
+
+
+@query(
+    "extend_codes",
+    "SELECT * FROM codes UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT '{c}', v::VARCHAR, CAST((SELECT count(DISTINCT coalesce({c}, {fill})) FROM first_days)"
+        f" + row_number() OVER (ORDER BY v) - 1 AS INT) FROM (SELECT coalesce({c}, {fill}) AS v FROM offers"
+        f" EXCEPT SELECT coalesce({c}, {fill}) FROM first_days)"
+        for c, kind in O.VIEW_CATEGORIES.items()
+        for fill in ["0" if kind == "number" else "'missing'"]
+    ),
+    f"first_days AS (SELECT * FROM offers WHERE requestDate < TIMESTAMP '{_FIRST_DAYS}')",
+    O.codes("first_days"),
+)
+def _(spark, folder):
+    """Codes of the first days, then of all days, and once more of all: nothing is added twice."""
+    view = tables.offers(spark, folder, labelled=False)
+    first = fit_artifacts(view.filter(F.col("requestDate") < F.lit(_FIRST_DAYS)), "NULL")
+    counts = write_table(fit_counts(view, "NULL"), "values")
+    second = artifacts_from_counts(counts, known=first.codes)
+    return artifacts_from_counts(counts, known=second.codes).codes
+
+
 _CODED = ["nationality", "companyID", "searchRoute", "legs1_segments0_marketingCarrier_code"]
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,7 @@ from rankwright.operators.encode import (
     Dictionary,
     apply_codes,
     codes_from_stats,
+    extend_codes,
     fill_values,
     measure_codes,
     value_stats,
@@ -72,45 +77,128 @@ def numeric_categories(schema: T.StructType = OFFER_SCHEMA) -> list[str]:
     return [c for c in CATEGORIES if isinstance(schema[c].dataType, T.NumericType)]
 
 
-def fit_artifacts(train: DataFrame, label: str = "selected") -> Artifacts:
-    """Carrier popularity, route frequency and category codes, from one scan of ``train``.
+COUNTS = "feature string, value string, whole bigint, real double, rows bigint, chosen bigint, labelled bigint"
 
-    All three are counts per value, so the rows are turned into values once and counted together;
-    the count table is written, and everything else is read from it.
+
+def fit_counts(train: DataFrame, label: str = "selected") -> DataFrame:
+    """All that ``fit_artifacts`` learns from offers: rows, chosen and labelled rows of every value.
+
+    One scan of ``train``. Counts of several sets of offers add up, see ``merge_counts``.
     """
     rows = align_schema(train).withColumn(ROUTE, route_key())
-    stats = write_table(value_stats(rows, [*CATEGORIES, ROUTE], label), "values")
+    return value_stats(rows, [*CATEGORIES, ROUTE], label)
+
+
+def merge_counts(counts: DataFrame, *more: DataFrame) -> DataFrame:
+    """The counts of all sets of offers together, which may be saved, merged again and so on."""
+    return (
+        reduce(DataFrame.unionByName, more, counts)
+        .groupBy("feature", "value", "whole", "real")
+        .agg(*[F.sum(c).alias(c) for c in ("rows", "chosen", "labelled")])
+    )
+
+
+def save_counts(counts: DataFrame, folder: str, day: str) -> None:
+    """Keep the counts of one day (or any other part); those of that day saved before are replaced."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", day):
+        raise ValueError(f"{day!r} is no name for a day: letters, digits, '_', '.' and '-' only")
+    counts.write.mode("overwrite").parquet(f"{folder}/day={day}")
+
+
+def load_counts(spark: SparkSession, folder: str, days: Sequence[str] | None = None) -> DataFrame:
+    """The saved counts of all days, or of those named, added up. No offers are read."""
+    saved = spark.read.schema(f"{COUNTS}, day string").parquet(folder)
+    chosen = saved if days is None else saved.filter(F.col("day").isin(list(days)))
+    return merge_counts(chosen.drop("day"))
+
+
+def artifacts_from_counts(counts: DataFrame, known: DataFrame | None = None) -> Artifacts:
+    """Popularity, route counts and codes of counted offers.
+
+    With ``known``, a dictionary fitted before, its values keep their codes and others get the next.
+    """
+    stats = write_table(counts, "values")
     found = F.col("value").isNotNull()
     carriers = popularity_from_stats(stats)
     routes = stats.filter((F.col("feature") == ROUTE) & found).select(
         F.col("value").alias(ROUTE), F.col("rows").alias("rt_route_count")
     )
     filled = fill_values(stats.filter(F.col("feature") != ROUTE), numeric_categories())
-    codes = write_table(codes_from_stats(filled), "codes")
-    return _measured(carriers, routes, codes)
+    codes = codes_from_stats(filled) if known is None else extend_codes(known, filled)
+    return _measured(carriers, routes, write_table(codes, "codes"))
 
 
-def save_artifacts(artifacts: Artifacts, folder: str, mode: str = "errorifexists") -> None:
+def fit_artifacts(train: DataFrame, label: str = "selected", known: DataFrame | None = None) -> Artifacts:
+    """Carrier popularity, route frequency and category codes, from one scan of ``train``.
+
+    All three are counts per value, so the rows are turned into values once and counted together;
+    the count table is written, and everything else is read from it.
+    """
+    return artifacts_from_counts(fit_counts(train, label), known)
+
+
+_MANIFEST = "number bigint, version string"
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+
+
+def _newest(spark: SparkSession, folder: str):
+    """The last row of the manifest, None if nothing has been saved as a whole."""
+    try:
+        return _versions(spark, folder).orderBy(F.col("number").desc(), F.col("version").desc()).first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def save_artifacts(artifacts: Artifacts, folder: str) -> str:
+    """Add a version of the lookups to ``folder`` and return its name.
+
+    The manifest names a version only when all its tables are written, and its one file appears as
+    a whole. A save that breaks off leaves what was there in force; earlier versions stay readable.
+    """
+    spark = artifacts.codes.sparkSession
+    last = _newest(spark, folder)
+    number = 1 if last is None else last.number + 1
+    version = f"{number:06d}-{uuid.uuid4().hex[:12]}"
+    base = f"{folder}/{version}"
     for leg, table in artifacts.carriers.items():
-        table.write.mode(mode).parquet(f"{folder}/carrier{leg}_pop")
-    artifacts.routes.write.mode(mode).parquet(f"{folder}/round_trip_freq")
-    artifacts.codes.write.mode(mode).partitionBy("feature").parquet(f"{folder}/codes")
+        table.write.parquet(f"{base}/carrier{leg}_pop")
+    artifacts.routes.write.parquet(f"{base}/round_trip_freq")
+    artifacts.codes.write.partitionBy("feature").parquet(f"{base}/codes")
+    row = spark.createDataFrame([(number, version)], _MANIFEST)
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return version
 
 
-def load_artifacts(spark: SparkSession, folder: str) -> Artifacts:
-    """Read saved lookups, their keys as text, and measure them again."""
+def load_artifacts(spark: SparkSession, folder: str, version: str | None = None) -> Artifacts:
+    """Read the newest version of saved lookups, or the one named, and measure them again.
+
+    Keys are read as text. Only versions of the manifest are read, so all tables are of one save.
+    """
+    if version is None:
+        last = _newest(spark, folder)
+        if last is None:
+            raise FileNotFoundError(f"no artifacts have been saved as a whole in {folder}")
+        version = last.version
+    elif _newest(spark, folder) is None or not _versions(spark, folder).filter(F.col("version") == version).count():
+        raise FileNotFoundError(f"{folder} has no whole version {version}")
+    base = f"{folder}/{version}"
     carriers = {
-        leg: spark.read.parquet(f"{folder}/carrier{leg}_pop").withColumn(
+        leg: spark.read.parquet(f"{base}/carrier{leg}_pop").withColumn(
             name, F.col(name).cast("string")
         )
         for leg, name in enumerate(CARRIER_COLUMNS)
     }
-    routes = spark.read.parquet(f"{folder}/round_trip_freq").withColumn(
+    routes = spark.read.parquet(f"{base}/round_trip_freq").withColumn(
         ROUTE, F.col(ROUTE).cast("string")
     )
     codes = (
         spark.read.schema("value string, code int, feature string")
-        .parquet(f"{folder}/codes")
+        .parquet(f"{base}/codes")
         .select("feature", F.col("value").cast("string").alias("value"), "code")
     )
     return _measured(carriers, routes, codes)

@@ -46,16 +46,16 @@ def with_request_key(requests: DataFrame, file: str = "_file") -> DataFrame:
 _BROKEN = "_broken"
 
 
-def parse_requests(lines: DataFrame) -> DataFrame:
+def parse_requests(lines: DataFrame, *carry: str) -> DataFrame:
     """The requests in lines of JSON text; ``_broken`` has the lines with an unreadable field.
 
-    Blank lines are no requests.
+    Blank lines are no requests. ``carry`` are more columns of the lines to keep.
     """
     schema = T.StructType([*REQUEST_SCHEMA.fields, T.StructField(_BROKEN, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
     lines = lines.filter(F.trim("value") != "")
     parsed = lines.withColumn("_request", F.from_json("value", schema, options))
-    return parsed.select("_request.*", "_file")
+    return parsed.select("_request.*", "_file", *carry)
 
 
 def _request_lines(spark: SparkSession, path: str) -> DataFrame:
