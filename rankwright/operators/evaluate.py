@@ -9,7 +9,9 @@ ordering it in one task is safe: about 1.4 million rows for a trillion offers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,6 +106,61 @@ def hitrate_curve(
     return _curve_rows(outcomes.agg(*[F.avg(_hit(k)).alias(f"hit_{k}") for k in ks]), ks)
 
 
+def poisson_steps(places: int = 12) -> list[float]:
+    """Chances that a Poisson variable of mean 1 is at most 0, 1, 2..."""
+    return [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(places)]
+
+
+def resampling_weight(seed: str, round_number: str, group: str) -> Column:
+    """How often a session is drawn in a round: Poisson of mean 1, fixed by a hash of both."""
+    key = F.concat_ws(":", F.lit(seed), F.col(round_number).cast("string"), F.coalesce(F.col(group).cast("string"), F.lit("")))
+    drawn = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return reduce(lambda a, b: a + b, [(drawn >= step).cast("long") for step in poisson_steps()])
+
+
+def hitrate_bounds(
+    df: DataFrame,
+    ks: Sequence[int] = SUMMARY_KS,
+    rounds: int = 200,
+    share: float = 0.95,
+    seed: str = "bootstrap",
+    larger_than: int = LARGER_THAN,
+    **columns,
+) -> DataFrame:
+    """``k, hitrate, low, high``: HitRate@k, and where ``share`` of its resampled values lie.
+
+    A Poisson bootstrap over sessions: in each round every session counts as often as a hash of the
+    round and its id says, so the bounds are the same in every run. All rounds and all k come from
+    one pass over the outcomes, which sends a row per round and task.
+    """
+    group = columns.get("group", "ranker_id")
+    outcomes = large_sessions(session_outcomes(df, **columns), larger_than)
+    numbered = F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("_round")
+    drawn = outcomes.select(group, "best_rank", numbered).withColumn(
+        # round 0 is the sample itself
+        "_times", F.when(F.col("_round") == 0, 1).otherwise(resampling_weight(seed, "_round", group))
+    )
+    hits = [F.sum(F.col("_times") * _hit(k)).alias(f"_hits_{k}") for k in ks]
+    sums = drawn.groupBy("_round").agg(F.sum("_times").alias("_sessions"), *hits)
+    rates = [F.try_divide(F.col(f"_hits_{k}"), F.col("_sessions")).alias(f"hit_{k}") for k in ks]
+    each = _curve_rows(sums.select("_round", *rates), ks, ["_round"])
+    resampled = F.when(F.col("_round") > 0, F.col("hitrate"))
+    ends = ((1 - share) / 2, 1 - (1 - share) / 2)
+    low, high = (_at_share(resampled, end) for end in ends)
+    return each.groupBy("k").agg(
+        F.max(F.when(F.col("_round") == 0, F.col("hitrate"))).alias("hitrate"),
+        low.alias("low"),
+        high.alias("high"),
+    )
+
+
+def _at_share(value: Column, share: float) -> Column:
+    """The smallest of a group's values that at least ``share`` of them do not exceed."""
+    ordered = F.array_sort(F.collect_list(value))
+    place = F.greatest(F.ceil(F.round(F.lit(share) * F.size(ordered), 9)), F.lit(1)).cast("int")
+    return F.try_element_at(ordered, place)
+
+
 def hit_summary(df: DataFrame, ks: Sequence[int] = SUMMARY_KS, **columns) -> DataFrame:
     return hitrate_curve(df, ks, **columns)
 

@@ -1042,6 +1042,50 @@ def _(spark, folder):
     return ranking.most_important(train.feature_importance(spark, model))
 
 
+@query("permutation_importance")
+def _(spark, folder):
+    features, model = _trained(spark, folder)
+    valid = features.filter(F.col("part") == "valid")
+    hot = tables.session_profile(spark, folder)
+    return quality.permutation_importance(valid, model, list(model.weights), hot=hot)
+
+
+_KNOWN_WEIGHTS = {"price_rank": -0.5, "totalPrice": -0.0001, "taxes": 0.0}
+
+
+@query(
+    "permutation_importance_known",
+    """SELECT f AS feature, round((SELECT avg(ndcg) FROM dealt_ndcg WHERE f = '') - avg(ndcg), 6) + 0.0 AS importance
+FROM dealt_ndcg WHERE f <> '' GROUP BY f""",
+    """dealt AS (
+  SELECT *, coalesce(lead(price_rank) OVER w, first(price_rank) OVER w) AS other_rank,
+    coalesce(lead(totalPrice) OVER w, first(totalPrice) OVER w) AS other_price
+  FROM (SELECT *, rank() OVER (PARTITION BY ranker_id ORDER BY totalPrice)
+    + (count(*) OVER (PARTITION BY ranker_id, totalPrice) - 1) / 2.0 AS price_rank FROM offers)
+  WINDOW w AS (PARTITION BY ranker_id ORDER BY md5(Id), Id)
+),
+dealt_rank AS (
+  SELECT f, ranker_id, selected, row_number() OVER (PARTITION BY f, ranker_id ORDER BY score DESC, Id) AS rank
+  FROM (SELECT *, CASE WHEN f = 'price_rank' THEN other_rank ELSE price_rank END * -0.5::DOUBLE
+    + CASE WHEN f = 'totalPrice' THEN other_price ELSE totalPrice END * -0.0001::DOUBLE AS score
+    FROM dealt, (VALUES (''), ('price_rank'), ('totalPrice'), ('taxes')) t(f))
+),
+dealt_ndcg AS (
+  SELECT f, ranker_id, CASE WHEN sum(selected) = 0 THEN 1.0::DOUBLE ELSE
+    coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 3 AND selected = 1), 0) END AS ndcg
+  FROM dealt_rank GROUP BY ALL
+)""",
+)
+def _(spark, folder):
+    """A model of known weights, one of them zero."""
+    hot = tables.session_profile(spark, folder)
+    view = tables.offers(spark, folder)
+    ranked = view.withColumn("price_rank", groups.average_rank("totalPrice", "ranker_id"))
+    model = train.LinearRanker(_KNOWN_WEIGHTS)
+    found = quality.permutation_importance(ranked, model, list(_KNOWN_WEIGHTS), hot=hot)
+    return tidy(found, "feature", "importance")
+
+
 @query("trained_hitrate")
 def _(spark, folder):
     features, model = _trained(spark, folder)
@@ -1087,6 +1131,32 @@ def _(spark, folder):
     return tidy(evaluate.hit_summary(**_view(spark, folder)))
 
 
+_POISSON = " + ".join(f"(u >= {step!r}::DOUBLE)::INT" for step in evaluate.poisson_steps())
+
+
+@query(
+    "hitrate_bounds",
+    """SELECT k, round(max(hitrate) FILTER (round = 0), 6) AS hitrate, round(max(low), 6) AS low, round(max(high), 6) AS high
+FROM (SELECT *, min(CASE WHEN round > 0 AND place >= ceil(round(200 * 0.025, 9)) THEN hitrate END) OVER (PARTITION BY k) AS low,
+    min(CASE WHEN round > 0 AND place >= ceil(round(200 * 0.975, 9)) THEN hitrate END) OVER (PARTITION BY k) AS high
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, round > 0 ORDER BY hitrate) AS place FROM rates))
+GROUP BY k""",
+    O.RANKED, O.OUTCOMES, O.LARGE,
+    f"""drawn AS (
+  SELECT round, best_rank, CASE WHEN round = 0 THEN 1 ELSE {_POISSON} END AS times FROM (
+    SELECT round, best_rank,
+      ('0x' || substr(md5('bootstrap:' || round || ':' || ranker_id), 1, 8))::BIGINT / 4294967296::DOUBLE AS u
+    FROM large, range(201) r(round))
+),
+rates AS (
+  SELECT round, CAST(k AS INT) AS k, sum(times * coalesce(best_rank <= k, false)::INT)::DOUBLE / sum(times) AS hitrate
+  FROM drawn, (VALUES (1), (3), (5), (10)) t(k) GROUP BY ALL
+)""",
+)
+def _(spark, folder):
+    return tidy(evaluate.hitrate_bounds(**_view(spark, folder)))
+
+
 _STRATA = """cuts AS (
   SELECT quantile_disc(group_size, 0.25) AS q25, quantile_disc(group_size, 0.75) AS q75 FROM large
 ),
@@ -1179,6 +1249,22 @@ def _(spark, folder):
     return tidy(built, "Id", *_BUILT_EXACT, *_BUILT_DOUBLES, *_BUILT_NULLABLE)
 
 
+@query(
+    "offers_by_session",
+    f"SELECT Id, {', '.join(_BUILT_EXACT)}, round(coalesce(price_rank, 0), 6) + 0.0 AS price_rank FROM fullf",
+    O.SPLIT, *O.ROWS, O.group_table(), O.lookups("trainset"), O.FULL,
+)
+def _(spark, folder):
+    """Features of offers that are stored by session."""
+    hot = tables.session_profile(spark, folder)
+    path = scratch_path(spark, "by_session")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    writers.write_offers_by_session(tables.offers(spark, folder), table, path, 8, hot=hot)
+    stored = readers.read_offers_by_session(spark, table)
+    built = build_features(stored, _artifacts(spark, folder), hot=hot)
+    return tidy(built, "Id", *_BUILT_EXACT, "price_rank")
+
+
 _ENCODED = ["legs0_segments0_marketingCarrier_code", "companyID", "sex"]
 
 

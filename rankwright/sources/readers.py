@@ -23,6 +23,11 @@ def read_offers(
     return reader.parquet(path).drop(stray)
 
 
+def read_offers_by_session(spark: SparkSession, table: str) -> DataFrame:
+    """Offers stored by ``write_offers_by_session``: windows over a session need no exchange."""
+    return spark.table(table)
+
+
 def label_unlabelled(df: DataFrame, label: str = "selected") -> DataFrame:
     """Give rows without a known choice the label 0."""
     return df.withColumn(label, F.lit(0).cast("long"))
