@@ -106,12 +106,17 @@ def fill_values(stats: DataFrame, numeric: Sequence[str]) -> DataFrame:
     )
 
 
+#: Dictionaries of so many values are put into the expression itself, which spares a join.
+TINY = 64
+
+
 @dataclass(frozen=True)
 class Dictionary:
-    """What is known of one feature's codes: whether they fit a broadcast, and an only entry."""
+    """What is known of one feature's codes: whether they fit a broadcast, an only entry, all of a few."""
 
     small: bool
     only: tuple[str, int] | None = None
+    entries: tuple[tuple[str, int], ...] | None = None
 
 
 def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
@@ -125,8 +130,14 @@ def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
         F.sum(F.octet_length("value") + 16).alias("bytes"),
         F.min(F.struct("value", "code")).alias("first"),
     )
+    seen = sorted(sizes.collect(), key=lambda r: (r.bytes, r.feature))
+    tiny = [r.feature for r in seen if 1 < r.rows <= TINY and r.bytes <= 64 * TINY]
+    listed: dict[str, list[tuple[str, int]]] = {}
+    if tiny:  # TINY rows for each of these features
+        for r in codes.filter(F.col("feature").isin(tiny)).select("feature", "value", "code").collect():
+            listed.setdefault(r.feature, []).append((r.value, r.code))
     measured, taken = {}, 0
-    for r in sorted(sizes.collect(), key=lambda r: (r.bytes, r.feature)):
+    for r in seen:
         taken += r.bytes
         small = (
             r.rows <= BROADCAST_ROWS
@@ -134,7 +145,8 @@ def measure_codes(codes: DataFrame) -> dict[str, Dictionary]:
             and taken <= BROADCAST_TOTAL_BYTES
         )
         only = (r["first"].value, r["first"].code) if r.rows == 1 else None
-        measured[r.feature] = Dictionary(small, only)
+        entries = tuple(sorted(listed[r.feature])) if r.feature in listed else None
+        measured[r.feature] = Dictionary(small, only, entries)
     return measured
 
 
@@ -148,11 +160,11 @@ def apply_codes(
 ) -> DataFrame:
     """Replace each category by its code; a value without one becomes -1.
 
-    Features whose dictionary is measured small are looked up by broadcast, all in one stage; one
-    with a single value needs no lookup. Hot values of the others are searched for once.
+    Features whose dictionary is measured small are looked up by broadcast, all in one stage; those
+    of a few values are looked up in a constant. Hot values of the others are searched for once.
     """
     known = measure_codes(codes) if dictionaries is None else dictionaries
-    joined = [c for c in features if c in known and known[c].only is None]
+    joined = [c for c in features if c in known and known[c].only is None and known[c].entries is None]
     large = {f"_value_{c}": F.col(c) for c in joined if not known[c].small}
     hot = find_hot_keys(df, large, rows_per_task)
     keyed = df
@@ -177,6 +189,9 @@ def apply_codes(
     def coded(name: str) -> Column:
         if name in joined:
             return F.coalesce(F.col(f"_code_{name}"), F.lit(UNSEEN))
+        if name in known and known[name].entries is not None:
+            pairs = F.create_map(*[F.lit(x) for entry in known[name].entries for x in entry])
+            return F.coalesce(F.try_element_at(pairs, F.col(name).cast("string")), F.lit(UNSEEN))
         if name in known:
             value, code = known[name].only
             return F.when(F.col(name).cast("string") == F.lit(value), F.lit(code)).otherwise(F.lit(UNSEEN))

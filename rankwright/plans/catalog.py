@@ -24,7 +24,7 @@ from rankwright.plans.features import (
     save_artifacts,
     save_counts,
 )
-from rankwright.plans.recommend import recommend, score_requests
+from rankwright.plans.recommend import answer_all, recommend, score_requests
 from rankwright.schema import CARRIER_COLUMNS, CATEGORIES, OFFER_SCHEMA, REQUEST_SCHEMA, STRAY_INDEX
 from rankwright.session import scratch_path, tune, write_table
 from rankwright.sources import readers, tables, writers
@@ -122,6 +122,11 @@ def _(spark, folder):
     O.REQUESTS,
 )
 def _(spark, folder):
+    rejected = readers.rejected_requests(spark, _damaged_requests(spark, folder))
+    return rejected.groupBy("reason").agg(F.count("*").alias("requests"))
+
+
+def _damaged_requests(spark: SparkSession, folder: str) -> str:
     """Requests of which some are cut short and some have lost their offers."""
     path = scratch_path(spark, "damaged")
     requests = tables.requests(spark, folder)
@@ -130,8 +135,21 @@ def _(spark, folder):
     line = F.to_json(F.struct("request_id", "ranker_id", "flights"))
     cut = F.when(F.col("ranker_id") % 7 == 0, F.substring(line, 1, 40)).otherwise(line)
     requests.select(cut.alias("value")).write.text(path)
-    rejected = readers.rejected_requests(spark, path)
-    return rejected.groupBy("reason").agg(F.count("*").alias("requests"))
+    return path
+
+
+@query(
+    "answer_all",
+    "SELECT CASE ranker_id % 7 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'empty' ELSE 'answered' END AS result,"
+    " count(DISTINCT request_id) AS requests, count(*) FILTER (ranker_id % 7 > 1) AS offers FROM flights GROUP BY 1",
+    O.REQUESTS,
+)
+def _(spark, folder):
+    """One output row for every request line, of which some are cut short and some have no offers."""
+    artifacts = _artifacts(spark, folder)
+    answers = answer_all(spark, _damaged_requests(spark, folder), artifacts, fixed_score(), list(FIXED_SCORE_FEATURES))
+    counted = answers.groupBy(F.coalesce("reason", F.lit("answered")).alias("result"))
+    return counted.agg(F.count("*").alias("requests"), F.sum(F.size("ranked_flights")).alias("offers"))
 
 
 def _training_part(spark: SparkSession, folder: str) -> DataFrame:
@@ -296,8 +314,14 @@ _FEATURE_COLUMNS = [
 
 @query("select_features", f"SELECT {', '.join(_FEATURE_COLUMNS)} FROM offers")
 def _(spark, folder):
+    """Identifiers, the label and all columns of third and fourth segments go."""
+    late = [
+        F.col(c).alias(c.replace("_segments1_", f"_segments{s}_").replace("_segments0_", f"_segments{s}_"))
+        for c in ("legs0_segments1_duration", "legs1_segments0_cabinClass")
+        for s in (2, 3)
+    ]
     view = tables.offers(spark, folder).select(
-        "Id", "ranker_id", "selected", "requestDate", "frequentFlyer", *_FEATURE_COLUMNS
+        "Id", "ranker_id", "selected", "requestDate", "frequentFlyer", *late, *_FEATURE_COLUMNS
     )
     return cols.select_features(view)
 

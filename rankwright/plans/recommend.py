@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwright.operators.columns import drop_empty_requests, numeric_matrix, validate_features
@@ -14,7 +14,7 @@ from rankwright.operators.skew import no_hot_groups
 from rankwright.operators.train import LinearRanker, score
 from rankwright.plans.features import Artifacts, build_features, encode_features
 from rankwright.schema import CATEGORIES
-from rankwright.sources.readers import request_offers
+from rankwright.sources.readers import read_requests, rejected_requests, request_offers
 
 _ROW = "_request_row"
 
@@ -72,3 +72,23 @@ def recommend(
     scored = _scored(requests, artifacts, model, features)
     ranked = rank_requests(scored, request=_ROW, hot=no_hot_groups([_ROW]), carry=["request_id"])
     return ranked.drop(_ROW)
+
+
+def answer_all(
+    spark: SparkSession,
+    path: str,
+    artifacts: Artifacts,
+    model: LinearRanker | PipelineModel | Column,
+    features: Sequence[str] | None = None,
+) -> DataFrame:
+    """An answer for every request line of ``path``: a ranked response, or the reason why there is none.
+
+    ``request_id, ranker_id, ranked_flights, reason, text``; ``reason`` and ``text`` are those of
+    ``rejected_requests`` and null for ranked responses, whose flights are never empty.
+    """
+    ranked = recommend(read_requests(spark, path), artifacts, model, features)
+    nothing = F.array().cast(ranked.schema["ranked_flights"].dataType)
+    text = F.lit(None).cast("string")
+    answered = ranked.select("request_id", "ranker_id", "ranked_flights", text.alias("reason"), text.alias("text"))
+    rejected = rejected_requests(spark, path)
+    return answered.unionByName(rejected.withColumn("ranked_flights", nothing))
