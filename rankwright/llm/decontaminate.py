@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwright.llm.names import unused
 from rankwright.session import write_table
 
 #: The most rows of a table of ids or shingles that is broadcast; more are shuffled.
@@ -187,7 +188,8 @@ def _find(docs: DataFrame, items: DataFrame, spec: LeakSpec, size: int) -> DataF
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSpec()) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item."""
-    leaks = _pairs(docs, benchmark, spec).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    doc, row = unused(docs, "_id"), unused(docs, "_row")
+    leaks = _pairs(docs, benchmark, spec).select(F.col("doc_id").alias(doc), F.col("row").alias(row))
     leaks = _bounded(write_table(leaks.distinct(), "leaks"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_row(F.col("text")) == F.col("_row"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (_row(F.col("text")) == F.col(row))
     return docs.join(leaks, same, "left_anti")

@@ -71,7 +71,9 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     the same name. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
-    docs = docs.select(*names, n_words(F.col("text").cast("string")).alias("size"))
+    # the columns of the input stay in one struct, apart from those of the work
+    size = n_words(F.col("text").cast("string")).alias("size")
+    docs = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), "doc_id", "source", size)
     sized = write_table(docs.select("doc_id", "source", "size"), "sizes")
     targets = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), spec)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     again = F.coalesce(F.col("end") >= _order_key(spec), F.lit(False)).cast("long")
     copies = F.col("times") + again
     return out.select(
-        *names, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
+        "doc.*", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
     )
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwright.llm.components import components
+from rankwright.llm.names import unused
 from rankwright.llm.superminhash import band_keys, signatures
 from rankwright.llm.words import mix, range_hashes, slices, split_words
 from rankwright.session import write_table
@@ -199,12 +200,13 @@ def keep_one_of_each(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     Of rows that share a kept doc_id one stays.
     """
     rows = write_table(near_duplicates(docs, spec).filter("n_shingles > 0 AND doc_id IS NOT NULL"), "rows")
-    gone = write_table(rows.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    doc = unused(docs, "_id")
+    gone = write_table(rows.filter("NOT kept").select(F.col("doc_id").alias(doc)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    same = F.col("doc_id").cast("long") == F.col("_id")
+    same = F.col("doc_id").cast("long") == F.col(doc)
     left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    repeated = rows.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
-    repeated = write_table(repeated.filter("n > 1").select("_id"), "repeated")
+    repeated = rows.filter("kept").groupBy(F.col("doc_id").alias(doc)).agg(F.count("*").alias("n"))
+    repeated = write_table(repeated.filter("n > 1").select(doc), "repeated")
     if repeated.isEmpty():
         return left
     return left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

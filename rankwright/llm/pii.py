@@ -233,8 +233,9 @@ def replace_pii(docs: DataFrame, spec: PiiSpec = PiiSpec()) -> DataFrame:
     repeated or null. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*names, entities(F.col("text")).alias("_mentions"))
-    plain = docs.filter("size(_mentions) = 0").select(*names, F.lit(0).alias("n_entities"))
+    # the columns of the input stay in one struct, apart from those of the work
+    docs = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), entities(F.col("text")).alias("_mentions"))
+    plain = docs.filter("size(_mentions) = 0").select("doc.*", F.lit(0).alias("n_entities"))
     found = write_table(docs.filter("size(_mentions) > 0").withColumn("_row", F.monotonically_increasing_id()), "found")
     mentions = found.select("_row", F.posexplode("_mentions").alias("_place", "_mention"))
     mentions = mentions.withColumn("kind", _kind(F.col("_mention")))
@@ -246,8 +247,8 @@ def replace_pii(docs: DataFrame, spec: PiiSpec = PiiSpec()) -> DataFrame:
     )
     written = written.groupBy("_row").agg(F.sort_array(F.collect_list("m")).alias("_new"))
     rows = found.join(written, "_row")
-    pieces = F.split(F.col("text").cast("string"), ENTITY, -1)
+    pieces = F.split(F.col("doc.text").cast("string"), ENTITY, -1)
     rows = rows.withColumn("_pieces", pieces)
     woven = F.array_join(F.flatten(F.zip_with("_pieces", F.col("_new.new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    text = [woven.alias("text") if n == "text" else F.col(n) for n in names]
-    return plain.unionByName(rows.select(*text, F.size("_mentions").alias("n_entities")))
+    kept = [woven.alias(n) if n == "text" else F.col("doc").getField(n).alias(n) for n in names]
+    return plain.unionByName(rows.select(*kept, F.size("_mentions").alias("n_entities")))

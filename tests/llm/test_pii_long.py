@@ -14,5 +14,5 @@ def test_a_megabyte_without_an_end(spark, unit):
     begin = time.monotonic()
     rows = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
     assert time.monotonic() - begin < 90
-    assert rows[3].text.endswith("example.org") is False and rows[3].n_entities >= 1
-    assert rows[1].text is not None and len(rows[3].text) == len(text) + len(" a.b@example.org")
+    assert rows[3].n_entities >= 1 and not rows[3].text.endswith("a.b@example.org")
+    assert len(rows[3].text) == len(text) + len(" a.b@example.org")
