@@ -15,4 +15,3 @@ def test_a_megabyte_without_an_end(spark, unit):
     rows = {r.doc_id: r for r in pii.replace_pii(docs).collect()}
     assert time.monotonic() - begin < 90
     assert rows[3].n_entities >= 1 and not rows[3].text.endswith("a.b@example.org")
-    assert len(rows[3].text) == len(text) + len(" a.b@example.org")
