@@ -73,8 +73,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Dealer:
     """Gathers (hash, document, place) and deals them out by range of the hash.
 
-    Where documents of one task share a hash, its places are settled at once, and only the
-    smallest document's is passed on.
+    Where documents of one task share a hash, its places are settled at once. Of windows only the
+    smallest document's is passed on; of anchors one more of another document, as whichever document
+    a place of another task belongs to, it must meet a second one.
     """
 
     def __init__(self, ranges: int, anchors: bool) -> None:
@@ -105,8 +106,10 @@ class _Dealer:
         settled = shared[group] if self.anchors else ~own
         if settled.any():
             yield _places(docs[settled], places[settled])
-        if self.anchors:  # one place of a settled hash goes on, to answer other tasks
-            passed = ~settled | new
+        if self.anchors:  # a place of the smallest document and one of another go on, to answer other tasks
+            passed = ~settled
+            for rows in (np.flatnonzero(own), np.flatnonzero(~own)):
+                passed[rows[np.diff(group[rows], prepend=-1) > 0]] = True
         else:
             passed = own
         hashes, docs, places, indexed = hashes[passed], docs[passed], places[passed], any_indexed[group[passed]]
@@ -118,7 +121,7 @@ class _Dealer:
         for a, b in zip(bounds[:-1], bounds[1:]):
             near, at = np.unique(where[a:b], return_inverse=True)
             rows["range"].append(int(ranges[a]))
-            rows["hashes"].append(_packed(hashes[a:b]))
+            rows["hashes"].append(_packed(hashes[a:b], _bytes(self.anchors)))
             rows["docs"].append(ids[near].tobytes())
             rows["doc"].append(at.astype(np.uint16 if len(near) < 65_536 else np.uint32).tobytes())
             rows["place"].append(places[a:b].tobytes())
@@ -134,14 +137,19 @@ _DEALT_NAMES = ["doc_id", "settled", "range", "hashes", "docs", "doc", "place",
 _DEALT = "doc_id long, settled binary, range long, hashes binary, docs binary, doc binary, place binary, indexed binary"
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """The low 48 bits of sorted hashes, byte planes apart."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+def _bytes(anchors: bool) -> int:
+    """Of a hash: an anchor too many costs a look at its windows, a window too many would cost words."""
+    return 6 if anchors else 8
 
 
-def _unpacked(raw, n: int) -> np.ndarray:
+def _packed(hashes: np.ndarray, size: int) -> bytes:
+    """The low bytes of sorted hashes, byte planes apart."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def _unpacked(raw, n: int, size: int) -> np.ndarray:
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, n).T
+    wide[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, n).T
     return wide.view(np.uint64).reshape(-1)
 
 
@@ -233,7 +241,7 @@ def _meet(anchors: bool):
                 n, ids = len(places), np.frombuffer(raw["docs"], np.int64)
                 at = np.frombuffer(raw["doc"], np.uint16 if len(ids) < 65_536 else np.uint32)
                 indexed = np.unpackbits(np.frombuffer(raw["indexed"], np.uint8), count=n).astype(bool)
-                parts.append((_unpacked(raw["hashes"], n), ids[at], places, indexed))
+                parts.append((_unpacked(raw["hashes"], n, _bytes(anchors)), ids[at], places, indexed))
         hashes, docs, places, indexed = (np.concatenate(c) for c in zip(*parts))
         parts = []
         order = np.argsort(hashes)
