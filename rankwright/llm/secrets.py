@@ -36,6 +36,10 @@ _IDENTIFIER = re.compile(
     re.I | re.A,
 )
 _UUID = re.compile(r"(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])", re.I | re.A)
+# digests as browsers and lock files write them, in base64
+_NAMED_DIGEST = re.compile(
+    r"(?<![A-Za-z0-9])sha(?:1-[A-Za-z0-9+/]{27}=|256-[A-Za-z0-9+/]{43}=|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86}==)(?![A-Za-z0-9+/=])"
+)
 _PART = re.compile(r"[A-Za-z0-9]+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,9 +138,11 @@ def random_parts(value: str, efficiency, spec: SecretSpec) -> list[tuple[int, in
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], efficiency, spec: SecretSpec) -> list[tuple[int, int, int]]:
-    """Random strings, and random parts of strings, outside the base spans."""
+    """Random strings, and random parts of strings, outside the base spans and named digests."""
     found = []
     taken = [(a, b) for a, _, b in base]
+    if "sha" in text:
+        taken = sorted(taken + [m.span() for m in _NAMED_DIGEST.finditer(text)])
     for m in _STRINGS.finditer(text):
         for start, end in _outside(m.start(), m.end(), taken):
             value = text[start:end].strip("=-_/+")
