@@ -3,10 +3,10 @@
 1. Texts become word shingles (lower case, letters and digits only). Places where a document has a
    shingle of the benchmark are found by a join. A window that is similar enough to an item has a
    shared shingle among its first ones, so only windows that begin shortly before such a place are
-   looked at; no other window can be similar.
+   looked at, and only with the items that hold this shingle; no other window can be similar.
 2. Every such window of the size of an item gets a SimHash of 64 bits of its shingles.
 3. Fingerprints are cut into ``radius + 1`` blocks. Two that differ in at most ``radius`` bits
-   agree in a block, so a join by block finds all of them.
+   agree in a block, so a join by item and block finds all of them.
 4. Candidates are verified by the exact weighted similarity: shingles count as often as they
    occur, and it is the sum of the smaller counts over the sum of the larger.
 """
@@ -39,46 +39,56 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
 
 
-def _shingles(words: Column, size: int) -> Column:
-    """Hashes of the runs of ``size`` words.
+def _cuts(words: Column, sizes: list[int]) -> Column:
+    """For each of ``sizes`` the hashes of the runs of so many words, as an array of arrays.
 
     The words are bound to a variable, for otherwise the optimiser would put the expression that
     makes them into the inner function and work it out again for each shingle.
     """
-    runs = F.transform(
-        F.array(words),
-        lambda w: F.when(
-            F.size(w) >= size,
-            F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    return F.get(runs, F.lit(0))
+
+    def runs(w: Column, size: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(w) - (size - 1))
+        hashes = F.transform(places, lambda i: F.xxhash64(F.slice(w, i, size)))
+        return F.when(F.size(w) >= size, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words), lambda w: F.array(*[runs(w, size) for size in sizes])), F.lit(0))
 
 
 def _fingerprints(windows: DataFrame, *keys: str) -> DataFrame:
-    """SimHash of the shingles in column ``h``, for each group of ``keys`` and ``m``.
+    """SimHash of the shingles in column ``h``, for each group of ``keys``.
 
     The 64 counts of set bits are kept in 32 sums of two halves each, added up before the shuffle.
     Their majority is that of the shingles added, so equal rows give the fingerprint of one.
     """
     sums = [F.sum(F.expr(f"shiftright(h, {k}) & 4294967297L")).alias(f"s{k}") for k in range(32)]
-    counted = windows.groupBy(*keys, "m").agg(F.count("*").alias("added"), *sums)
+    counted = windows.groupBy(*keys).agg(F.count("*").alias("added"), *sums)
     halves = F.array(*[f"s{k}" for k in range(32)])
     bits = F.expr(
         "aggregate(sequence(0, 63), 0L, (f, i) -> f | shiftleft(CAST("
         "2 * (shiftrightunsigned(sums[i % 32], 32 * (i div 32)) & 4294967295L) > added AS BIGINT), i))"
     )
-    return counted.select(*keys, "m", "added", halves.alias("sums")).select(*keys, "m", bits.alias("print"))
+    return counted.select(*keys, "added", halves.alias("sums")).select(*keys, bits.alias("print"))
 
 
-def _blocks(radius: int) -> Column:
-    """The blocks of a fingerprint as (number, value)."""
+def _masks(radius: int) -> list[tuple[int, int]]:
+    """First bit and width mask of each of the ``radius + 1`` blocks of a fingerprint."""
     cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _blocks(radius: int) -> Column:
+    """The blocks of a fingerprint as (block, value)."""
     parts = [
-        f"struct({k} AS block, shiftrightunsigned(print, {a}) & {(1 << (b - a)) - 1}L AS value)"
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
+        f"struct({k} AS block, shiftrightunsigned(print, {a}) & {mask}L AS value)"
+        for k, (a, mask) in enumerate(_masks(radius))
     ]
-    return F.explode(F.expr(f"array({', '.join(parts)})"))
+    return F.inline(F.expr(f"array({', '.join(parts)})"))
+
+
+def _first_agreeing(radius: int) -> str:
+    """The first block in which ``print`` and ``own`` agree."""
+    parts = [f"shiftrightunsigned(print ^ own, {a}) & {mask}L" for a, mask in _masks(radius)]
+    return f"CAST(array_position(array({', '.join(parts)}), 0L) AS INT) - 1"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -121,65 +131,97 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec) -> DataFrame:
     docs = _numbered(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words"))
     items = items.filter("size(words) > 0").withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"])
-    items = write_table(items, "items")
-    sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(spec.words))).distinct().collect()]
-    found = [_find(docs, items, spec, size) for size in sorted(sizes)]
-    if not found:
+    items = write_table(items.withColumn("size", F.least(F.size("words"), F.lit(spec.words))), "items")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # spec.words values at most
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, row long, item_id long, start int, n_words int, similarity double")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs
-
-
-def _find(docs: DataFrame, items: DataFrame, spec: LeakSpec, size: int) -> DataFrame:
-    """The windows of items whose shingles have ``size`` words."""
-    fits = F.size("words") >= size if size == spec.words else F.size("words") == size
-    items = items.filter(fits).select("item_id", "item", _shingles(F.col("words"), size).alias("hs"))
+    place = F.array_position(F.array(*[F.lit(n) for n in sizes]), F.col("size")).cast("int") - 1
+    items = items.select("item_id", "item", place.alias("k"), _cuts(F.col("words"), sizes).alias("cuts"))
+    items = items.select("item_id", "item", "k", F.get("cuts", F.col("k")).alias("hs"))
     items = write_table(items.withColumn("m", F.size("hs")), "items")
-    lengths = items.select(F.explode("hs").alias("h"), "m").groupBy("h").agg(F.collect_set("m").alias("ms"))
-    lengths = _bounded(write_table(lengths, "shingles"))
 
-    def cut(texts: DataFrame) -> DataFrame:
-        return texts.select("doc_id", "row", _shingles(_words(F.col("text")), size).alias("hs"))
+    def cut(texts: DataFrame, name: str) -> DataFrame:
+        return texts.select("doc_id", "row", _cuts(_words(F.col("text")), sizes).alias(name))
 
-    places = cut(docs).select("doc_id", "row", F.posexplode("hs").alias("place", "h")).join(lengths, "h")
-    places = places.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    places = write_table(places.agg(F.collect_set(F.struct("place", "ms")).alias("places")), "places")
+    index = write_table(items.select("k", "m", "item", F.explode(F.array_distinct("hs")).alias("h")), "shingles")
+    places = write_table(_places(cut(docs, "cuts"), index), "places")
     ids = _bounded(places.select("_id", "_row"))
-    hit = cut(docs.join(ids, _same_row(), "left_semi")).join(places, _same_row())
-    # what is not shared is less than this part of a window, so a shared shingle comes before it
-    spare = f"CAST(floor(m * {100 - spec.percent} / 100) AS INT)"
+    texts = docs.join(ids, _same_row(), "left_semi")
+    prints = write_table(_windows(cut(texts, "cuts"), places, spec), "prints")
+    own = _fingerprints(items.select("item", "k", "m", F.explode("hs").alias("h")), "item", "k", "m")
+    own = write_table(own.withColumnRenamed("print", "own"), "prints")
+    shared = write_table(_sharing(places, index, spec), "sharing")
+    candidates = write_table(_within(shared, prints, own, spec), "candidates")
+    return _verified(cut(texts, "cuts"), candidates, items, sizes, spec)
+
+
+def _spare(spec: LeakSpec) -> str:
+    """The most shingles of a window of ``m`` that its item need not hold.
+
+    Window and item have ``m`` each; sharing n of them gives a similarity of n / (2m - n).
+    """
+    return f"CAST(m * {100 - spec.percent} div {100 + spec.percent} AS INT)"
+
+
+def _places(cuts: DataFrame, index: DataFrame) -> DataFrame:
+    """``_id, _row, places``: where each document has shingles of the benchmark, in one pass for all sizes."""
+    lengths = index.groupBy("k", "h").agg(F.collect_set("m").alias("ms"))
+    rows = cuts.select("doc_id", "row", F.posexplode("cuts").alias("k", "hs"))
+    rows = rows.select("doc_id", "row", "k", F.posexplode("hs").alias("place", "h"))
+    rows = rows.join(_bounded(write_table(lengths, "lengths")), ["k", "h"])
+    rows = rows.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    return rows.agg(F.collect_set(F.struct("k", "place", "h", "ms")).alias("places"))
+
+
+def _windows(cuts: DataFrame, places: DataFrame, spec: LeakSpec) -> DataFrame:
+    """``doc_id, row, k, m, s, print`` of each window with a shared shingle among its first ones."""
     begins = (
-        "array_distinct(flatten(flatten(transform(places, p -> transform(p.ms, m -> "
-        f"transform(sequence(greatest(0, p.place - {spare}), p.place), s -> struct(m, s)))))))"
-    )
-    windows = hit.select("doc_id", "row", "hs", F.explode(F.expr(begins)).alias("w")).select("doc_id", "row", "w.m", "w.s", "hs")
-    windows = windows.filter("s + m <= size(hs)").select("doc_id", "row", "m", "s", F.expr("slice(hs, s + 1, m)").alias("hs"))
-    prints = _fingerprints(windows.select("doc_id", "row", "s", "m", F.explode("hs").alias("h")), "doc_id", "row", "s")
-    prints = write_table(prints, "prints")
-    own = write_table(_fingerprints(items.select("item", "m", F.explode("hs").alias("h")), "item"), "prints")
-    a = prints.withColumn("b", _blocks(spec.radius)).select("doc_id", "row", "s", "m", "print", "b.block", "b.value")
-    b = own.withColumn("b", _blocks(spec.radius)).select("item", "m", F.col("print").alias("own"), "b.block", "b.value")
-    candidates = a.join(_bounded(write_table(b, "blocks")), ["m", "block", "value"]).filter(
-        f"bit_count(print ^ own) <= {spec.radius}"
+        "array_distinct(flatten(flatten(transform(places, p -> transform(p.ms, m -> transform("
+        f"sequence(greatest(0, p.place - {_spare(spec)}), p.place), s -> struct(p.k AS k, m, s)))))))"
     )
-    candidates = write_table(candidates.select("doc_id", "row", "s", "m", "item").distinct(), "candidates")
+    windows = cuts.join(places, _same_row()).select("doc_id", "row", "cuts", F.explode(F.expr(begins)).alias("w"))
+    windows = windows.select("doc_id", "row", "w.*", F.expr("cuts[w.k]").alias("hs")).filter("s + m <= size(hs)")
+    windows = windows.select("doc_id", "row", "k", "m", "s", F.explode(F.expr("slice(hs, s + 1, m)")).alias("h"))
+    return _fingerprints(windows, "doc_id", "row", "k", "m", "s")
+
+
+def _sharing(places: DataFrame, index: DataFrame, spec: LeakSpec) -> DataFrame:
+    """``doc_id, row, k, m, s, item``: windows with the items that hold one of their first shingles."""
+    rows = places.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.inline("places"))
+    rows = rows.select("doc_id", "row", "k", "h", "place", F.explode("ms").alias("m"))
+    rows = rows.withColumn("s", F.explode(F.expr(f"sequence(greatest(0, place - {_spare(spec)}), place)")))
+    return rows.join(_bounded(index), ["k", "h", "m"]).select("doc_id", "row", "k", "m", "s", "item").distinct()
+
+
+def _within(shared: DataFrame, prints: DataFrame, own: DataFrame, spec: LeakSpec) -> DataFrame:
+    """The rows of ``shared`` whose fingerprints are within the radius, found by their blocks.
+
+    A pair may agree in several blocks; it is taken at the first, so no pair comes twice.
+    """
+    window = [F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}")) for name in ("doc_id", "row", "k", "m", "s")]
+    a = shared.alias("a").join(prints.alias("b"), window).select("a.*", "b.print")
+    a = a.select("*", _blocks(spec.radius))
+    b = own.select("item", F.col("own").alias("print")).select("item", F.col("print").alias("own"), _blocks(spec.radius))
+    near = a.join(_bounded(write_table(b, "blocks")), ["item", "block", "value"])
+    near = near.filter(f"bit_count(print ^ own) <= {spec.radius}").filter(f"block = {_first_agreeing(spec.radius)}")
+    return near.select("doc_id", "row", "k", "m", "s", "item")
+
 
-    # the exact similarity: only windows that are candidates are cut out again
+def _verified(cuts: DataFrame, candidates: DataFrame, items: DataFrame, sizes: list[int], spec: LeakSpec) -> DataFrame:
+    """Exact similarity: only windows that are candidates are cut out again."""
     wanted = candidates.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    wanted = wanted.agg(F.collect_list(F.struct("s", "m", "item")).alias("ws"))
-    again = cut(docs.join(ids, _same_row(), "left_semi")).join(wanted, _same_row())
-    again = again.select("doc_id", "row", "hs", F.explode("ws").alias("w"))
-    again = again.select("doc_id", "row", "w.*", F.expr("slice(hs, w.s + 1, w.m)").alias("hs"))
+    wanted = wanted.agg(F.collect_list(F.struct("k", "s", "m", "item")).alias("ws"))
+    again = cuts.join(wanted, _same_row()).select("doc_id", "row", "cuts", F.explode("ws").alias("w"))
+    again = again.select("doc_id", "row", "w.*", F.expr("slice(cuts[w.k], w.s + 1, w.m)").alias("hs"))
     again = again.dropDuplicates(["doc_id", "row", "s", "m", "item"]).withColumn("h", F.explode("hs"))
-    counted = again.groupBy("doc_id", "row", "s", "m", "item", "h").agg(F.count("*").alias("n"))
+    counted = again.groupBy("doc_id", "row", "k", "s", "m", "item", "h").agg(F.count("*").alias("n"))
     known = items.select("item", "item_id", F.explode("hs").alias("h"))
     known = known.groupBy("item", "item_id", "h").agg(F.count("*").alias("n_item"))
-    shared = counted.join(known, ["item", "h"]).groupBy("doc_id", "row", "s", "m", "item_id", "item").agg(
+    shared = counted.join(known, ["item", "h"]).groupBy("doc_id", "row", "k", "s", "m", "item_id", "item").agg(
         F.sum(F.least("n", "n_item")).alias("shared")
     )
     shared = shared.filter(f"100 * shared >= {spec.percent} * (2 * m - shared)")
+    size = F.get(F.array(*[F.lit(n) for n in sizes]), F.col("k"))
     return shared.select(
         "doc_id", "row", "item_id", F.col("s").alias("start"), (F.col("m") + size - 1).alias("n_words"),
         (F.col("shared") / (2 * F.col("m") - F.col("shared"))).alias("similarity"),
