@@ -29,7 +29,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class WarcSpec:
     date: str = ""  # WARC-Date of all records; the time of the call if empty
-    records_per_file: int = 20_000
+    records_per_file: int = 20_000  # at most
+    file_bytes: int = 128 << 20  # of a file before compression, at the mean length of a record
 
 
 def payload_digest(payload: Column) -> Column:
@@ -39,8 +40,10 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
-    text = F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("-")), digest, F.coalesce(url, F.lit("-")))
+def _record_id(page_id: Column, url: Column, digest: Column, copy: Column) -> Column:
+    """One id per record: rows equal in all columns differ by ``copy``, counted from 1."""
+    again = F.when(copy > 1, copy.cast("string"))
+    text = F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("-")), digest, F.coalesce(url, F.lit("-")), again)
     return F.concat(F.lit("urn:uuid:"), F.regexp_replace(F.md5(text.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
 
 
@@ -49,7 +52,10 @@ def write_archive(pages: DataFrame, path: str, spec: WarcSpec = WarcSpec()) -> N
     date = spec.date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    heads = pages.select("page_id", "url", payload_digest(F.col("html")).alias("digest")).distinct()
+    pages = pages.withColumn("digest", payload_digest(F.col("html")))
+    heads = pages.groupBy("page_id", "url", "digest").agg(
+        F.count("*").alias("copies"), F.max(F.octet_length("html").cast("long")).alias("bytes")
+    )
     heads = write_table(heads, "heads")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("no_url"), "url")
     first = heads.groupBy("digest").agg(F.min(order).alias("first"))
@@ -57,12 +63,18 @@ def write_archive(pages: DataFrame, path: str, spec: WarcSpec = WarcSpec()) -> N
     decided = heads.join(first, "digest").select(
         F.col("page_id").alias("_page"), F.col("url").alias("_url"), F.col("digest").alias("_digest"),
         own.eqNullSafe(F.struct("first.page_id", "first.url")).alias("response"),
-        _record_id(F.col("first.page_id"), F.col("first.url"), F.col("digest")).alias("original"),
-        F.coalesce("first.url", F.lit("")).alias("original_url"),
+        _record_id(F.col("first.page_id"), F.col("first.url"), F.col("digest"), F.lit(1)).alias("original"),
+        F.coalesce("first.url", F.lit("")).alias("original_url"), "copies",
     )
-    pages = pages.withColumn("digest", payload_digest(F.col("html")))
     same = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("digest") == F.col("_digest"))
-    rows = pages.join(decided, same)
+    rows = pages.join(decided, same).drop("_page", "_url", "_digest").withColumn("copy", F.lit(1))
+    # of equal rows only one may keep the payload; they meet in the map tasks and are numbered
+    several = F.col("copies") > 1
+    names = [c for c in rows.columns if c not in ("html", "copy")]
+    repeated = rows.filter(several).groupBy(*names).agg(F.first("html").alias("html"))
+    repeated = repeated.withColumn("copy", F.explode(F.expr("sequence(1, CAST(copies AS INT))")))
+    repeated = repeated.withColumn("response", F.col("response") & (F.col("copy") == 1))
+    rows = rows.filter(~several).unionByName(repeated)
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\x00-\x20]", ""), F.lit("\r\n"))
@@ -75,7 +87,7 @@ def write_archive(pages: DataFrame, path: str, spec: WarcSpec = WarcSpec()) -> N
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(F.col("response"), F.lit("response")).otherwise(F.lit("revisit"))),
-        line("WARC-Record-ID", F.concat(F.lit("<"), _record_id(F.col("page_id"), F.col("url"), F.col("digest")), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<"), _record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("copy")), F.lit(">"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.coalesce("url", F.lit(""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -91,9 +103,11 @@ def write_archive(pages: DataFrame, path: str, spec: WarcSpec = WarcSpec()) -> N
         F.octet_length(body).cast("string"),
         F.lit("\r\n\r\n"),
     )
+    mean = heads.agg(F.avg("bytes")).first()[0] or 0.0
+    most = max(1, min(spec.records_per_file, int(spec.file_bytes // (mean + 1024))))  # with the headers
     rows.select(F.concat(head, body).alias("value")).write.option("lineSep", "\r\n\r\n").option(
         "compression", "gzip"
-    ).option("maxRecordsPerFile", spec.records_per_file).text(path)
+    ).option("maxRecordsPerFile", most).text(path)
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -165,7 +179,7 @@ def archive_and_read(pages: DataFrame, spec: WarcSpec = WarcSpec()) -> DataFrame
     Needs ``page_id, url, html``; other columns are ignored. A null html is an empty payload, and
     empty payloads are equal. Of equal payloads the smallest page_id is the response, a null
     page_id only if there is no other; of rows with that page_id, the one with the smallest url.
-    Rows equal in all three columns to the response are responses too. White space and control
+    Of rows equal to the response in all three columns, one is the response and the others revisit it. White space and control
     characters in a url are left out of the header. An empty table gives no rows.
     """
     spark = pages.sparkSession

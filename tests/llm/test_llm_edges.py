@@ -254,7 +254,7 @@ def test_archives(spark, tmp_path):
     got = sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in found)
     assert got == sorted(map(str, [
         (1, len(ugly), "response", None), (2, len(ugly), "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3),
-        (None, 4, "response", None), (5, 2, "response", None), (5, 2, "response", None), (6, 2, "revisit", 5),
+        (None, 4, "response", None), (5, 2, "response", None), (5, 2, "revisit", 5), (6, 2, "revisit", 5),
     ]))
     assert warc.archive_and_read(pages.limit(0)).count() == 0
     path = str(tmp_path / "w")
