@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankwright.operators import evaluate, gain, quality, train
-from rankwright.operators.skew import no_hot_groups
+from rankwright.operators.skew import find_hot_groups, no_hot_groups
 from rankwright.plans.catalog import _labelled_features
 from rankwright.sources import tables
 
@@ -169,6 +169,25 @@ def test_rounds_of_boosting(features):
     assert rows[4, "train"].sessions == learned.select("ranker_id").distinct().count()
 
 
+def test_rounds_of_boosting_move_an_offer_once(small, monkeypatch):
+    """Offers become rows per round behind the exchange on the session, and not if sessions are oversized."""
+    rows = small.withColumn("part", F.when(F.col("ranker_id") % 3 == 0, "valid").otherwise("train"))
+    model = train.train_pointwise(rows, ["x"], rounds=3, depth=2, feature_share=1.0)
+    measured = quality.boosting_rounds(rows, model)
+    above, *below = measured._jdf.queryExecution().executedPlan().toString().split("Generate")
+    assert below
+    assert above.count("Exchange hashpartitioning") == 1  # the means by round and part
+    found = []
+    monkeypatch.setattr(quality, "find_hot_groups", lambda df, keys: found.append(find_hot_groups(df, keys, 5)) or found[0])
+    apart = quality.boosting_rounds(rows, model).collect()
+    assert found[0]
+    together = measured.orderBy("round", "part").collect()
+    assert len(together) == len(apart) == 6
+    for one, other in zip(together, sorted(apart)):
+        assert one[:2] == other[:2]
+        assert one[2:] == pytest.approx(other[2:])
+
+
 def test_validation_stops_boosting(spark):
     """A label that the feature tells nothing about: more rounds only fit the rows learned from."""
     rng = random.Random(5)
