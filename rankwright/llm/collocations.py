@@ -9,9 +9,10 @@ A phrase is no more frequent than any run of words in it. Runs are counted by th
 pairs in one pass and longer ones, of pairs that are frequent enough, in the next. A suffix ends
 where a run in it has a counter below ``least``, and those of one word are left out. Runs that
 share a counter make it too high, never too low, so no phrase is lost, whatever the number of
-counters. Equal suffixes of a task are one row with a number. Leading words found very often are
-followed by one more word in the routing, and by more if need be; the counts of phrases shorter
-than the words routed by are then sums of those of several tasks.
+counters. Equal suffixes of a task are one row with a number; texts are read by as many tasks as
+run at a time, as rows are phrases times tasks. Leading words found very often are followed by one
+more word in the routing, and by more if need be; the counts of phrases shorter than the words
+routed by are then sums of those of several tasks.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ _HELD = 500_000  # rows that a task keeps before it adds up equal ones
 _PENDING = 4_000_000  # runs that a task keeps before it counts them
 _BLOCK = 1 << 16  # counters in a row of a packed table
 _ROUTE_ROWS = 50_000  # rows sorted at a time, about
+_TASK_BYTES = 1 << 30  # text that a task reads, about, if there are more tasks than cores
 _SALTS = 16
 
 
@@ -346,6 +348,8 @@ def phrase_counts(docs: DataFrame, spec: Collocations = Collocations()) -> tuple
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(1, min(spec.bits, math.ceil(math.log2(size / 32 + 2))))
+    # a word or phrase is a row of each task that reads it, so small parts of the input are read together
+    texts = texts.coalesce(max(context.defaultParallelism, math.ceil(size / _TASK_BYTES)))
     seen = write_table(
         texts.mapInArrow(_words_and_pairs(bits), "lang string, text string, n long, block int, packed binary"), "words"
     )

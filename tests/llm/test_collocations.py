@@ -107,6 +107,30 @@ def test_hot_leading_words_are_routed_deeper(spark, monkeypatch):
     assert {2, 3, 4} <= depths
 
 
+def test_rows_of_suffixes_do_not_grow_with_the_parts_of_the_input(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    sort = collocations._sort
+
+    def counted(spec):
+        run = sort(spec)
+
+        def count(table):
+            seen.add(table.num_rows)
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(collocations, "_sort", counted)
+    rows = [("en", "a b c d e f g")] * 240
+    spec = Collocations(least=100)
+    made = []
+    for parts in (8, 40):
+        before = seen.value
+        assert _found(_table(spark, rows).repartition(parts), spec) == _expected(rows, spec)
+        made.append(seen.value - before)
+    assert made[0] == made[1] <= 6 * spark.sparkContext.defaultParallelism
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_HELD", 50)
     rows = [("en", None), ("en", ""), (None, " \n\t"), (None, "x y"), ("und", "X\ty z"), ("en", "x y"), ("en", "x y"),
