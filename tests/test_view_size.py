@@ -3,19 +3,23 @@
 import datetime
 import glob
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankwright.operators import evaluate
+from rankwright.operators import evaluate, groups, split
 from rankwright.operators.encode import value_stats
 from rankwright.operators.columns import align_schema
-from rankwright.operators.rows import route_key
-from rankwright.plans.catalog import _request_file
+from rankwright.operators.rows import route_key, row_features
+from rankwright.operators.skew import no_hot_groups
+from rankwright.plans.catalog import _labelled_features, _request_file
 from rankwright.plans.features import ROUTE, fit_counts
 from rankwright.schema import CATEGORIES
 from rankwright.sources import readers, tables, writers
 
+_COMPARED = ["Id", "ranker_id", "totalPrice", "total_duration", "l0_seg", "is_direct_leg0"]
+
 DAY = datetime.datetime(1995, 3, 1)
 
 
@@ -94,3 +98,28 @@ def test_resampling_hash_is_worked_out_once(spark):
     df = spark.createDataFrame(rows, "ranker_id long, Id string, pred_score double, selected long")
     plan = evaluate.hitrate_bounds(df, rounds=5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1
+
+
+def test_features_are_split_once(spark, shop, monkeypatch):
+    """The cut that the lookups are fitted behind is the one that marks the parts."""
+    cuts, real = [], split.session_time_cut
+    monkeypatch.setattr(split, "session_time_cut", lambda *a, **k: cuts.append(real(*a, **k)) or cuts[-1])
+    features = _labelled_features(spark, shop)
+    assert cuts == [DAY]
+    assert features.filter("part = 'train'").count() == 1200
+
+
+def test_a_session_is_sorted_once_by_duration_and_once_by_price(spark, shop):
+    view = row_features(align_schema(tables.offers(spark, shop)))
+    made = groups.group_features(view.select(*_COMPARED), hot=no_hot_groups(["ranker_id"]))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ASC NULLS LAST], false") == 2
+    rows = made.collect()
+    for name, value in (("price_rank", "totalPrice"), ("duration_rank", "total_duration")):
+        known = [r[value] for r in rows]
+        for r in rows[::100]:
+            assert r[name] == sum(k < r[value] for k in known) + (known.count(r[value]) + 1) / 2
+    middle = statistics.median(r.totalPrice for r in rows)
+    spread = statistics.stdev(r.totalPrice for r in rows)
+    for r in rows[::100]:
+        assert r.price_from_median == pytest.approx((r.totalPrice - middle) / (spread + 1))
