@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankwright.operators import gain, train
+from rankwright.operators import gain, quality, train
 from rankwright.operators.skew import find_hot_groups, no_hot_groups
 from rankwright.plans.catalog import _labelled_features
 from rankwright.sources import tables
@@ -41,6 +41,14 @@ def test_pairs_move_an_offer_once(rows, meetings):
     assert sorted(map(str, made.select(known).collect())) == sorted(map(str, apart.select(known).collect()))
 
 
+def test_permuted_offers_move_once(rows):
+    model = train.LinearRanker({"x": 1.0, "y": -0.5})
+    found = quality.permutation_importance(rows, model, ["x", "y"], hot=NONE)
+    above, *below = found._jdf.queryExecution().executedPlan().toString().split("Generate")
+    assert below
+    assert above.count("Exchange hashpartitioning") == 1  # the means by feature
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     return _labelled_features(spark, "/root/testdata/sf0.001", by_session=True)
