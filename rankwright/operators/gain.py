@@ -92,16 +92,17 @@ def train_by_gain(
     iterations: int = 50,
     meetings: int | None = 1,
     mixing: float = 0.0,
+    stored: bool = False,
 ) -> tuple[LinearRanker, list[Round]]:
     """The best model by NDCG@``metric_k`` on the sessions set aside, and all rounds.
 
     Weights are changes in NDCG@``k``. With a ``tune_share`` of 0 nothing is set aside and the
     rounds are compared on what they learned from. Only figures of a round come to the driver.
+    Rows read from a table are ``stored`` and not written again; each round reads them anew.
     """
     hot = find_hot_groups(df, [group]) if hot is None else hot
-    kept = write_table(
-        df.select(group, row_id, label, *features).withColumn("_tune", in_tuning(group, tune_share)), "learned"
-    )
+    kept = df.select(group, row_id, label, *features).withColumn("_tune", in_tuning(group, tune_share))
+    kept = kept if stored else write_table(kept, "learned")
     rows = kept.filter(~F.col("_tune"))
     spreads = feature_spreads(rows, features)
     fit = {"regularisation": regularisation, "iterations": iterations, "mixing": mixing}

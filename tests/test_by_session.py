@@ -66,3 +66,13 @@ def test_pairs_of_stored_features_stay_in_place(stored):
     assert _exchanges(train.make_pairs(learned, ["price_rank"], hot=NONE)) == 0
     scored = train.score(learned, train.LinearRanker({"price_rank": -1.0}))
     assert _exchanges(gain.weighed_pairs(scored, ["price_rank"], hot=NONE)) == 0
+
+
+def test_stored_rows_are_not_written_again(stored, monkeypatch):
+    learned = stored.filter(F.col("part") == "train")
+    first = gain.train_by_gain(learned, ["price_rank", "log_price"], hot=NONE, rounds=1)[1]
+    monkeypatch.setattr(gain, "write_table", None)
+    second = gain.train_by_gain(learned, ["price_rank", "log_price"], hot=NONE, rounds=1, stored=True)[1]
+    for one, other in zip(first, second):
+        assert one.model.weights == pytest.approx(other.model.weights, rel=1e-6)
+        assert (one.fit_ndcg, one.tune_ndcg) == pytest.approx((other.fit_ndcg, other.tune_ndcg))
