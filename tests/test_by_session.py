@@ -76,3 +76,8 @@ def test_stored_rows_are_not_written_again(stored, monkeypatch):
     for one, other in zip(first, second):
         assert one.model.weights == pytest.approx(other.model.weights, rel=1e-6)
         assert (one.fit_ndcg, one.tune_ndcg) == pytest.approx((other.fit_ndcg, other.tune_ndcg))
+
+
+def test_tasks_rank_few_margins(spark):
+    """Twenty million margins are dealt so that a task holds half a million of them."""
+    assert quality._parts_for(spark.range(1_000_000), 20) >= 40
